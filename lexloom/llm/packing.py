@@ -122,8 +122,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capac
         step = 4 * capacity
         for batch in batches:
             ids_of, out, held = batch.column(0), [[], [], [], [], []], 0
-            for row, data in zip(ids_of, batch.column(1), strict=True):
-                ids, key = enc.encode(data.as_py()) + end, row.as_py()
+            for row, found in zip(ids_of, enc.encode_many(x.as_py() for x in batch.column(1)), strict=True):
+                ids, key = found + end, row.as_py()
                 for k in range(0, len(ids), step):
                     part = ids[k : k + step]
                     for col, value in zip(out, (key, k // step, k // 4, len(part) // 4, part), strict=True):
