@@ -34,34 +34,63 @@ END_ID = 0
 # ---- planning on the histogram ---------------------------------------------------------------------------------
 
 
-def _exact(counts: np.ndarray, gap: int) -> list[int] | None:
-    """Lengths (one, two or three, longest first) that fill the gap exactly and are available together; None if there are none."""
-    if gap <= 0:
+class Sums:
+    """Availability counts by length, and an index of the pair sums of available lengths that follows them."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+        self.alive = np.zeros(len(counts), dtype=bool)
+        self.pairs = np.zeros(2 * len(counts), dtype=np.int64)  # by sum: how many pairs of available lengths make it
+        for x in np.flatnonzero(counts):
+            self._turn(int(x), 1)
+
+    def _turn(self, x: int, sign: int) -> None:
+        if sign > 0:
+            self.alive[x] = True
+        self.pairs[x + np.flatnonzero(self.alive)] += sign
+        if sign < 0:
+            self.alive[x] = False
+
+    def add(self, x: int, n: int) -> None:
+        self.counts[x] += n
+        if (self.counts[x] > 0) != self.alive[x]:
+            self._turn(x, 1 if n > 0 else -1)
+
+    def exact(self, gap: int) -> list[int] | None:
+        """Lengths (one, two or three, longest first) that fill the gap exactly and are available together; None if there are none."""
+        counts = self.counts
+        if gap <= 0:
+            return None
+        if counts[gap] > 0:
+            return [gap]
+        have = np.flatnonzero(self.alive[: gap + 1])
+        if not len(have):
+            return None
+        if self.pairs[gap]:
+            low = have[have * 2 <= gap]
+            other = gap - low
+            ok = (counts[other] > 0) & ((other != low) | (counts[low] > 1))
+            if ok.any():
+                x = int(low[np.flatnonzero(ok)[-1]])  # the pair nearest to halves keeps long and short pieces for other gaps
+                return [gap - x, x]
+        # Triples x <= y <= z: where the pair index has the complement of x; the counts decide. Longest x first.
+        third = have[have * 3 <= gap]
+        for x in third[self.pairs[gap - third] > 0][::-1]:
+            x = int(x)
+            rest = gap - x
+            y = have[(have >= x) & (have * 2 <= rest)]
+            z = rest - y
+            need_x = 1 + (y == x) + (z == x)
+            ok = (counts[z] > 0) & (counts[x] >= need_x) & ((y != z) | (counts[y] >= 2 + (y == x)))
+            if ok.any():
+                y = int(y[np.flatnonzero(ok)[-1]])
+                return [rest - y, y, x]
         return None
-    if gap < len(counts) and counts[gap] > 0:
-        return [gap]
-    have = np.flatnonzero(counts[: gap + 1])
-    have = have[have > 0]
-    if not len(have):
-        return None
-    low = have[have * 2 <= gap]
-    other = gap - low
-    ok = (counts[other] > 0) & ((other != low) | (counts[low] > 1))
-    if ok.any():
-        x = int(low[np.flatnonzero(ok)[-1]])  # the pair nearest to halves keeps long and short pieces for other gaps
-        return [gap - x, x]
-    # Triples x <= y <= z: the index of pair sums is scanned for the complement of each x, longest x first.
-    for x in have[have * 3 <= gap][::-1]:
-        x = int(x)
-        rest = gap - x
-        y = have[(have >= x) & (have * 2 <= rest)]
-        z = rest - y
-        need_x = 1 + (y == x) + (z == x)
-        ok = (counts[z] > 0) & (counts[x] >= need_x) & ((y != z) | (counts[y] >= 2 + (y == x)))
-        if ok.any():
-            y = int(y[np.flatnonzero(ok)[-1]])
-            return [rest - y, y, x]
-    return None
+
+    def best(self, gap: int) -> int | None:
+        """The longest available length that fits."""
+        fitting = np.flatnonzero(self.alive[: gap + 1])
+        return int(fitting[-1]) if len(fitting) else None
 
 
 def plan_runs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -71,6 +100,7 @@ def plan_runs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple
         if not 0 < length <= capacity:
             raise ValueError(f"a piece of {length} tokens doesn't fit into {capacity}")
         counts[length] += n
+    sums = Sums(counts)
     used = np.zeros(capacity + 1, dtype=np.int64)
     runs: list[tuple[int, int, int, int, int]] = []
     sequence = 0
@@ -81,23 +111,24 @@ def plan_runs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple
         if top == 0:
             return runs
         pattern = [top]
-        counts[top] -= 1  # held back while its complement is looked for
+        sums.add(top, -1)  # held back while its complement is looked for
         gap = capacity - top
         while gap > 0:
-            found = _exact(counts, gap)
+            found = sums.exact(gap)
             if found is None:
-                fitting = np.flatnonzero(counts[: gap + 1])
-                fitting = fitting[fitting > 0]
-                if not len(fitting):
+                fits = sums.best(gap)
+                if fits is None:
                     break
-                found = [int(fitting[-1])]
+                found = [fits]
             for x in found:
-                counts[x] -= 1
+                sums.add(x, -1)
             pattern += found
             gap -= sum(found)
         lengths, times = np.unique(pattern, return_counts=True)
         more = int((counts[lengths] // times).min())  # the same combination again, as often as the counts allow
-        counts[lengths] -= more * times
+        if more:
+            for x, n in zip(lengths, times, strict=True):
+                sums.add(int(x), -more * int(n))
         offset = 0
         n = more + 1
         for x in pattern:

@@ -411,3 +411,13 @@ def similar_documents(docs: DataFrame, n: int = 5, doc_id: str = "doc_id", text:
     """doc_id, component_id: documents whose sets of n-word shingles have an estimated Jaccard similarity of 0.8 or more, chained."""
     prints = materialise(fingerprints(docs, n, WORDS, True, doc_id, text), "prints")
     return components(prints, WORDS, WIDTH, TABLE_DIFF, TOTAL_DIFF, group_rows).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, n: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without near copies: of each group the row with the smallest id stays (all its columns). Rows of one id are one document; rows without an id go if their group has a document with one."""
+    found = materialise(similar_documents(docs, n, doc_id, text), "groups")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__ll_gone")).distinct()
+    kept = docs.join(gone, docs[doc_id].eqNullSafe(F.col("__ll_gone")), "left_anti")
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates([doc_id])

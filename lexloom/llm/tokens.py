@@ -10,11 +10,18 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from array import array
+from collections.abc import Iterable, Iterator
 
 from lexloom.llm.common import worker_state
 
-#: Words kept per worker process, and the longest word kept (bytes).
-CACHE_WORDS, CACHE_LEN = 400_000, 64
+#: Words kept per worker process in each of two generations, and the longest word kept (bytes).
+CACHE_WORDS, CACHE_LEN = 300_000, 64
+#: Bytes of text whose new words are gathered for one call of the library.
+STEP = 4 << 20
+#: Letters of ASCII and Latin-1, then ASCII marks (no apostrophe, which can start an ending such as 's): one or two pre-tokens.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-;=?-@\[-`{}~]*)")
 
 
 def separable(path: str) -> bool:
@@ -31,6 +38,22 @@ def separable(path: str) -> bool:
     return bool(drops) and spaces and only_words and byte_level_plain and not flags
 
 
+class WordCache(dict):
+    """Two generations: when the young one is full it becomes the old one; words used again move back into the young one."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.old[word]  # a KeyError says that the library must see the word
+        return ids
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+
 class WordEncoder:
     """Texts to little-endian unsigned 32-bit ids, as bytes."""
 
@@ -40,35 +63,92 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.split = separable(path)
-        self.cache: dict[bytes, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
+        spec = json.load(open(path, encoding="utf-8"))
+        self.cache = WordCache()
+        self.pieces: dict[bytes, bytes] = {b"": b""}
+        # Ids that end a pre-token, where the model marks them; then a text's ids can be cut into its words'.
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.ends = None
+        if self.split and suffix:
+            import numpy as np
+
+            self.ends = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), dtype=bool)
+            self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word. Letters with marks after them are two pre-tokens, whose ids follow one another."""
+        if self.ends is None:
+            return self._whole([w.decode() for w in words])
+        known, match = self.pieces, PLAIN.fullmatch
+        if len(known) > CACHE_WORDS:
+            known.clear()
+            known[b""] = b""
+        split, new, odd = [], {}, []
+        for w in words:
+            m = match(w)
+            if m is None:
+                odd.append(w)
+                split.append(None)
+                continue
+            letters, marks = m.groups()
+            letters = letters.lower()
+            split.append((letters, marks))
+            if letters not in known:
+                new[letters] = None
+            if marks not in known:
+                new[marks] = None
+        pieces = list(new)
+        for at in range(0, len(pieces), 512):
+            part = pieces[at : at + 512]
+            known.update(zip(part, self._pieces(part), strict=True))
+        alone = iter(self._whole([w.decode() for w in odd]))
+        return [next(alone) if s is None else known[s[0]] + known[s[1]] for s in split]
+
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of single pre-tokens, from one text: each ends with the only id there that ends a pre-token."""
         import numpy as np
 
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.array(self.tok.encode_batch_fast([b" ".join(pieces).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) != len(pieces):  # not as expected: the library sees each for itself
+            return self._whole([x.decode() for x in pieces])
+        data, cuts = ids.tobytes(), (last * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
     def encode(self, data: bytes) -> bytes:
         """data: a text as UTF-8."""
+        return next(self.encode_many([data]))
+
+    def encode_many(self, texts: Iterable[bytes]) -> Iterator[bytes]:
+        """Ids of each text, in order. New words of some megabytes of text go to the library together."""
         if not self.split:
-            return self._ids([data.decode()])[0]
-        words, cache = data.split(), self.cache
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            pass
-        missing = list({w for w in words if w not in cache})
-        if len(cache) + len(missing) > CACHE_WORDS:
-            cache.clear()
-            missing = list(set(words))
-        long, at = {}, 0
-        while at < len(missing):
-            part = missing[at : at + 4096]
-            at += 4096
-            for w, ids in zip(part, self._ids([w.decode() for w in part]), strict=True):
-                (cache if len(w) <= CACHE_LEN and len(cache) < CACHE_WORDS else long)[w] = ids
+            for data in texts:
+                yield self._whole([data.decode()])[0]
+            return
+        held, size = [], 0
+        for data in texts:
+            held.append(data.split())
+            size += len(data)
+            if size >= STEP:
+                yield from self._join(held)
+                held, size = [], 0
+        if held:
+            yield from self._join(held)
+
+    def _join(self, texts: list[list[bytes]]) -> list[bytes]:
+        cache = self.cache
+        if len(cache) > CACHE_WORDS:
+            cache.turn()
+        missing = list(set().union(*texts).difference(cache, cache.old))
+        long = {}
+        for w, ids in zip(missing, self._words(missing), strict=True):
+            (cache if len(w) <= CACHE_LEN else long)[w] = ids
         if not long:
-            return b"".join(map(cache.__getitem__, words))
-        return b"".join([cache[w] if w in cache else long[w] for w in words])
+            return [b"".join(map(cache.__getitem__, words)) for words in texts]
+        return [b"".join([long[w] if w in long else cache[w] for w in words]) for words in texts]
 
 
 def encoder(path: str) -> WordEncoder:
