@@ -99,7 +99,7 @@ class SequenceWriter:
 def write_sequences(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", length: int = LENGTH, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the files and return their manifest: part (int, in order), docs, n_tokens and start (long: ids in the parts before)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).cast("binary").alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
 
     def run(batches: Iterator) -> Iterator:
@@ -112,8 +112,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k
         for batch in batches:
             if batch.num_rows and writer is None:
                 writer = SequenceWriter(folder, f"part-{task.partitionId():06d}", f"{task.taskAttemptId()}", length, wide, batch.column(0).type)
-            for key, found in zip(batch.column(0), enc.encode_many(x.as_py() for x in batch.column(1)), strict=True):
-                ids = np.frombuffer(found, "<u4")
+            for key, ids in zip(batch.column(0), enc.encode_column(batch.column(1)), strict=True):
                 writer.add(key.as_py(), np.append(ids, np.uint32(end_id)).astype(writer.dtype))
         if writer is not None:
             writer.close()

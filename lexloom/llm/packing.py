@@ -153,8 +153,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capac
         step = 4 * capacity
         for batch in batches:
             ids_of, out, held = batch.column(0), [[], [], [], [], []], 0
-            for row, found in zip(ids_of, enc.encode_many(x.as_py() for x in batch.column(1)), strict=True):
-                ids, key = found + end, row.as_py()
+            for row, found in zip(ids_of, enc.encode_column(batch.column(1)), strict=True):
+                ids, key = found.tobytes() + end, row.as_py()
                 for k in range(0, len(ids), step):
                     part = ids[k : k + step]
                     for col, value in zip(out, (key, k // step, k // 4, len(part) // 4, part), strict=True):
@@ -166,7 +166,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capac
             if out[0]:
                 yield _pieces(pa, out, ids_of.type)
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).cast("binary").alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary")
 

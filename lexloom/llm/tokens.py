@@ -1,9 +1,10 @@
-"""Token ids from the tokenizers library, word by word.
+"""Token ids from the tokenizers library, each distinct piece of a word once.
 
-A tokenizer whose normaliser and pre-tokeniser treat white space only as a separator gives a text's ids as the ids of
-its white-space-separated words, one after the other. That lets a bounded cache of words stand in front of the library:
-a corpus repeats its words, and the library then sees each word about once per worker. `separable` checks that property
-from the tokenizer's definition; other tokenizers get whole texts.
+A tokenizer whose normaliser and pre-tokeniser treat white space only as a separator gives a text's ids as the ids of its
+white-space-separated words, one after the other. Words of letters with marks behind them are, in turn, two pre-tokens.
+So some megabytes of text at a time are cut into words and distinct pieces by Arrow's kernels, a bounded cache of pieces
+stands in front of the library, and numpy puts the texts' ids together. `separable` checks that property from the
+tokenizer's definition; other tokenizers get whole texts.
 """
 
 from __future__ import annotations
@@ -12,16 +13,17 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
 
 from lexloom.llm.common import worker_state
 
-#: Words kept per worker process in each of two generations, and the longest word kept (bytes).
-CACHE_WORDS, CACHE_LEN = 300_000, 64
-#: Bytes of text whose new words are gathered for one call of the library.
-STEP = 4 << 20
+#: Pieces kept per worker process, and bytes of text handled at a time.
+CACHE_PIECES, STEP = 600_000, 8 << 20
 #: Letters of ASCII and Latin-1, then ASCII marks (no apostrophe, which can start an ending such as 's): one or two pre-tokens.
-PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-;=?-@\[-`{}~]*)")
+PLAIN = "^(?P<a>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<b>[!-&(-/:-;=?-@\\[-`{}~]*)$"
 
 
 def separable(path: str) -> bool:
@@ -33,29 +35,14 @@ def separable(path: str) -> bool:
     spaces = '"Regex": "\\\\s+"' in norm
     flags = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t.get("content", "") for t in spec.get("added_tokens") or [])
     patterns = [p["pattern"].get("Regex", "") for p in drops]
-    only_words = all("[^\\s" in x and "\\s+" not in x for x in patterns)
+    only_words = all("[\\p{L}]+" in x and "[^\\s\\p{L}\\p{N}]+" in x and "\\s+" not in x for x in patterns)
     byte_level_plain = all(not p.get("add_prefix_space") and not p.get("use_regex") for p in pre if p.get("type") == "ByteLevel")
-    return bool(drops) and spaces and only_words and byte_level_plain and not flags
-
-
-class WordCache(dict):
-    """Two generations: when the young one is full it becomes the old one; words used again move back into the young one."""
-
-    def __init__(self):
-        super().__init__()
-        self.old: dict[bytes, bytes] = {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self[word] = self.old[word]  # a KeyError says that the library must see the word
-        return ids
-
-    def turn(self) -> None:
-        self.old = dict(self)
-        self.clear()
+    ends = bool(spec["model"].get("end_of_word_suffix"))
+    return bool(drops) and spaces and only_words and byte_level_plain and not flags and ends
 
 
 class WordEncoder:
-    """Texts to little-endian unsigned 32-bit ids, as bytes."""
+    """Texts to unsigned 32-bit ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,92 +50,106 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.split = separable(path)
-        spec = json.load(open(path, encoding="utf-8"))
-        self.cache = WordCache()
-        self.pieces: dict[bytes, bytes] = {b"": b""}
-        # Ids that end a pre-token, where the model marks them; then a text's ids can be cut into its words'.
-        suffix = spec["model"].get("end_of_word_suffix") or ""
-        self.ends = None
-        if self.split and suffix:
-            import numpy as np
-
+        if self.split:
+            # Ids that end a pre-token: a text of single pre-tokens can be cut into them by its ids.
+            suffix = json.load(open(path, encoding="utf-8"))["model"]["end_of_word_suffix"]
             self.ends = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), dtype=bool)
             self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
+            self.plain = re.compile(PLAIN).fullmatch
+            self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[str, int] = {"": 0}  # piece -> its place in start and length
+        self.start, self.length = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int32)
+        self.flat = np.zeros(0, dtype=np.uint32)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word. Letters with marks after them are two pre-tokens, whose ids follow one another."""
-        if self.ends is None:
-            return self._whole([w.decode() for w in words])
-        known, match = self.pieces, PLAIN.fullmatch
-        if len(known) > CACHE_WORDS:
-            known.clear()
-            known[b""] = b""
-        split, new, odd = [], {}, []
-        for w in words:
-            m = match(w)
-            if m is None:
-                odd.append(w)
-                split.append(None)
-                continue
-            letters, marks = m.groups()
-            letters = letters.lower()
-            split.append((letters, marks))
-            if letters not in known:
-                new[letters] = None
-            if marks not in known:
-                new[marks] = None
-        pieces = list(new)
-        for at in range(0, len(pieces), 512):
-            part = pieces[at : at + 512]
-            known.update(zip(part, self._pieces(part), strict=True))
-        alone = iter(self._whole([w.decode() for w in odd]))
-        return [next(alone) if s is None else known[s[0]] + known[s[1]] for s in split]
-
-    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of single pre-tokens, from one text: each ends with the only id there that ends a pre-token."""
-        import numpy as np
-
-        ids = np.array(self.tok.encode_batch_fast([b" ".join(pieces).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(array("I", e.ids), dtype=np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of single pre-tokens in one array, and how many each has; from one text, where each ends with the only id there that ends a pre-token."""
+        ids = np.array(self.tok.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype=np.uint32)
         last = np.flatnonzero(self.ends[ids]) + 1
         if len(last) != len(pieces):  # not as expected: the library sees each for itself
-            return self._whole([x.decode() for x in pieces])
-        data, cuts = ids.tobytes(), (last * 4).tolist()
-        return [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
-
-    def encode(self, data: bytes) -> bytes:
-        """data: a text as UTF-8."""
-        return next(self.encode_many([data]))
+            return self._alone(pieces)
+        return ids, np.diff(last, prepend=0)
+
+    def _alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self._whole(pieces)
+        return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Give new pieces a slot."""
+        plain = list(filter(self.plain, pieces))
+        odd = list(set(pieces).difference(plain)) if len(plain) < len(pieces) else []
+        found = [self._pieces(plain[at : at + 512]) for at in range(0, len(plain), 512)]
+        found += [self._alone(odd[at : at + 512]) for at in range(0, len(odd), 512)]
+        sizes = np.concatenate([n for _, n in found])
+        begin = len(self.flat) + np.cumsum(sizes) - sizes
+        self.slots.update(zip(plain + odd, range(len(self.start), len(self.start) + len(sizes)), strict=True))
+        self.start, self.length = np.append(self.start, begin), np.append(self.length, sizes.astype(np.int32))
+        self.flat = np.concatenate([self.flat, *[ids for ids, _ in found]])
+
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        at = np.fromiter(map(self.slots.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            self._learn([pieces[i] for i in new.tolist()])
+            at[new] = [self.slots[pieces[i]] for i in new.tolist()]
+        return at
+
+    def _column(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """texts: an Arrow array of strings without nulls. All ids, and where each text's ids begin (one more entry: their end)."""
+        import pyarrow.compute as pc
+
+        if len(self.slots) > CACHE_PIECES:
+            self._forget()
+        lists = pc.ascii_split_whitespace(texts)
+        offsets = lists.offsets.to_numpy()
+        words = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).dictionary_encode()
+        word, distinct = words.indices.to_numpy(), words.dictionary
+        parts = pc.extract_regex(distinct, PLAIN)
+        first = pc.coalesce(pc.ascii_lower(pc.struct_field(parts, 0)), distinct).dictionary_encode()
+        second = pc.fill_null(pc.struct_field(parts, 1), "").dictionary_encode()
+        ab = [self._places(x.dictionary.to_pylist())[x.indices.to_numpy()] for x in (first, second)]
+        # The ids of each distinct word, then of the texts: copies by computed places.
+        piece = np.stack(ab, axis=1).ravel()
+        flat = _gather(self.flat, self.start[piece], self.length[piece])
+        size = self.length[piece].reshape(-1, 2).sum(axis=1)
+        start = np.cumsum(size, dtype=np.int64) - size
+        counts = size[word]
+        ends = np.append(0, np.cumsum(counts, dtype=np.int64))
+        return _gather(flat, start[word], counts), ends[offsets - offsets[0]]
+
+    def encode_column(self, texts) -> Iterator[np.ndarray]:
+        """texts: an Arrow array of strings without nulls. Each text's ids, in order."""
+        import pyarrow.compute as pc
 
-    def encode_many(self, texts: Iterable[bytes]) -> Iterator[bytes]:
-        """Ids of each text, in order. New words of some megabytes of text go to the library together."""
         if not self.split:
-            for data in texts:
-                yield self._whole([data.decode()])[0]
+            for x in texts:
+                yield self._whole([x.as_py()])[0]
             return
-        held, size = [], 0
-        for data in texts:
-            held.append(data.split())
-            size += len(data)
-            if size >= STEP:
-                yield from self._join(held)
-                held, size = [], 0
-        if held:
-            yield from self._join(held)
-
-    def _join(self, texts: list[list[bytes]]) -> list[bytes]:
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.turn()
-        missing = list(set().union(*texts).difference(cache, cache.old))
-        long = {}
-        for w, ids in zip(missing, self._words(missing), strict=True):
-            (cache if len(w) <= CACHE_LEN else long)[w] = ids
-        if not long:
-            return [b"".join(map(cache.__getitem__, words)) for words in texts]
-        return [b"".join([long[w] if w in long else cache[w] for w in words]) for words in texts]
+        lengths = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            done = lengths[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(lengths, done + STEP, side="right")))
+            ids, starts = self._column(texts.slice(at, end - at))
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                yield ids[a:b]
+            at = end
+
+    def encode(self, text: str) -> np.ndarray:
+        import pyarrow as pa
+
+        return next(self.encode_column(pa.array([text])))
+
+
+def _gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[start[0] : start[0] + size[0]], values[start[1] : ...], ... in one array."""
+    before = np.cumsum(size, dtype=np.int64) - size
+    total = int(before[-1] + size[-1]) if len(size) else 0
+    return values[np.repeat(start - before, size) + np.arange(total)]
 
 
 def encoder(path: str) -> WordEncoder:
