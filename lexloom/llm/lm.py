@@ -34,7 +34,7 @@ from lexloom.llm.common import id_remainder, materialise, text_of
 #: Classes: words of their own, suffix groups; coarse classes; size of vectors; noise words per position.
 HEAD, SUFFIXES, COARSE, DIM, NOISE = 400, 110, 16, 32, 10
 #: Words whose counts travel to every task, and distinct words held before they are passed on in counting.
-HEAVY, HELD = 200_000, 200_000
+HEAVY, HELD = 100_000, 200_000
 #: Stands for the end of a text; no word holds white space.
 END = b"\n"
 
@@ -109,8 +109,9 @@ def choose_classes(vocabulary: DataFrame, head: int = HEAD, suffixes: int = SUFF
             break
         held += r["n"]
         least = r["s"]
-    frequent = vocabulary.where(step >= least) if least is not None else vocabulary.limit(0)
-    pairs = sorted(((bytes(r["word"]), r["c"]) for r in frequent.collect()), key=lambda p: (-p[1], p[0]))
+    frequent = (vocabulary.where(step >= least) if least is not None else vocabulary.limit(0)).toArrow()
+    pairs = sorted(zip(frequent.column("word").to_pylist(), frequent.column("c").to_pylist(), strict=True), key=lambda p: (-p[1], p[0]))
+    del frequent
     own = [w for w, _ in pairs if w != END][:head]
     place = {END: 0} | {w: i + 1 for i, w in enumerate(own)}
     rest = vocabulary.where(~F.col("word").isin([bytearray(w) for w in place]))
@@ -119,7 +120,7 @@ def choose_classes(vocabulary: DataFrame, head: int = HEAD, suffixes: int = SUFF
     suffix = {bytes(r["s"]): len(place) + i for i, r in enumerate(top)}
     size = len(place) + len(suffix) + 1
     mass, kinds = np.zeros(size), np.zeros(size)
-    counts = dict(pairs)
+    counts = {w: c for w, c in pairs if w in place}
     for i, r in enumerate(top):
         mass[len(place) + i], kinds[len(place) + i] = r["n"], r["v"]
     mass[-1] = total[0] - mass.sum() - sum(counts.get(w, 0) for w in place)
@@ -193,25 +194,35 @@ def train_nce(counts: np.ndarray, dim: int = DIM, noise: int = NOISE, steps: int
     size, n_contexts = counts.shape[1], counts.shape[0]
     rng = np.random.default_rng(seed)
     f = np.float32
-    total = max(1.0, float(counts.sum()))
-    share = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * size)
+    totals = counts.sum(axis=0, dtype=np.float64)
+    total = max(1.0, float(totals.sum()))
+    share = (totals + 0.5) / (totals.sum() + 0.5 * size)
     kp = (noise * share).astype(f)
-    n = (counts / total).astype(f)
-    weight = n.sum(axis=1, keepdims=True)
-    live = np.flatnonzero(weight[:, 0] > 0)  # contexts that occur
-    n, weight, first, second = n[live], weight[live], live // COARSE, live % COARSE
+    weight = counts.sum(axis=1, dtype=np.float64) / total
+    live = np.flatnonzero(weight > 0)  # contexts that occur
+    first, second = live // COARSE, live % COARSE
+    n = counts[live].astype(f)
+    n /= f(total)
+    both = weight[live, None].astype(f) * kp  # noise, and data
+    both += n
     params = [rng.normal(0, 0.1, (n_contexts // COARSE, dim)).astype(f), rng.normal(0, 0.1, (COARSE, dim)).astype(f), rng.normal(0, 0.1, (size, dim)).astype(f), np.log(share).astype(f)]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     log_kp = np.log(kp)
     starts = np.flatnonzero(np.append(True, np.diff(first) > 0)) if len(live) else np.zeros(0, dtype=np.int64)
+    slope = np.empty_like(n)
     for step in range(1, steps + 1):
         if not len(live):
             break
         vectors = params[0][first] + params[1][second]
-        delta = vectors @ params[2].T + (params[3] - log_kp)
-        sig = 1 / (1 + np.exp(-np.clip(delta, -30, 30)))
-        slope = (weight * kp) * sig  # noise taken for data
-        slope -= n * (1 - sig)  # data taken for noise
+        # The slope by score: noise taken for data less data taken for noise, = sig * (noise + data) - data; in one buffer.
+        np.matmul(vectors, params[2].T, out=slope)
+        slope += params[3] - log_kp
+        np.clip(slope, -30, 30, out=slope)
+        np.negative(slope, out=slope)
+        np.exp(slope, out=slope)
+        slope += 1
+        np.divide(both, slope, out=slope)
+        slope -= n
         dv = slope @ params[2]
         g1, g2 = np.zeros_like(params[0]), np.zeros_like(params[1])
         g1[first[starts]] = np.add.reduceat(dv, starts, axis=0)
@@ -278,10 +289,13 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     vocabulary = materialise(word_counts(training), "words")
     classes = choose_classes(vocabulary, head, suffixes, heavy)
     shared = spark.sparkContext.broadcast(classes)  # bounded by `heavy` words
-    cells = cell_counts(training, shared).toPandas()  # bounded by contexts x classes
-    counts = np.zeros(classes.size * COARSE * classes.size)
-    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    cells = cell_counts(training, shared).toArrow()  # bounded by contexts x classes
+    counts = np.zeros(classes.size * COARSE * classes.size, dtype=np.float32)
+    for batch in cells.to_batches():
+        counts[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    del cells
     model = train_nce(counts.reshape(-1, classes.size))
+    del counts
     partial = materialise(partial_scores(rows, shared, model), "partial")
     rare = partial.select("uid", F.explode("rare").alias("r")).select("uid", F.col("r.word").alias("word"), F.col("r.m").alias("m"))
     looked = rare.join(vocabulary, "word", "left").groupBy("uid").agg(F.sum(F.col("m") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("known"))
