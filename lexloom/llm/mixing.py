@@ -63,22 +63,23 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
     return rated.select("__ll_source", "size", "rate", "draws", cdf.alias("cdf")), int(total["k"])
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, budget: float = 1.0, seed: str = SEED, doc_id: str = "doc_id", source: str = "source", text: str = "text", broadcast_sources: int = 10_000) -> DataFrame:
-    """docs' columns plus n_copies (int), copy (int, from 0) and shuffle_key (long), in globally shuffled order."""
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, budget: float = 1.0, seed: str = SEED, doc_id: str = "doc_id", source: str = "source", text: str = "text", broadcast_sources: int = 10_000, names: tuple[str, str, str] = ("n_copies", "copy", "shuffle_key")) -> DataFrame:
+    """docs' columns plus, under the given names, n_copies (int), copy (int, from 0) and shuffle_key (long), in globally shuffled order."""
+    n_copies, copy, shuffle_key = names
     rates, n_sources = source_rates(docs, weights, temperature, budget, source, text)
-    rates = rates.select("__ll_source", "draws", "cdf")
+    rates = rates.select("__ll_source", F.col("draws").alias("__ll_draws"), F.col("cdf").alias("__ll_cdf"))
     if n_sources <= broadcast_sources:
         rates = F.broadcast(rates)
-    kept = docs.drop("n_copies", "copy", "shuffle_key")
+    kept = docs.drop(*names)
     joined = kept.join(rates, kept[source].eqNullSafe(F.col("__ll_source")))
-    one_draw = lambda j: F.size(F.filter("cdf", lambda c: c <= _unit(F.lit(seed), _id_text(doc_id), j.cast("string"))))
-    count = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), lambda acc, j: acc + one_draw(j))
+    one_draw = lambda j: F.size(F.filter("__ll_cdf", lambda c: c <= _unit(F.lit(seed), _id_text(doc_id), j.cast("string"))))
+    several = F.aggregate(F.sequence(F.lit(1), F.col("__ll_draws")), F.lit(0), lambda acc, j: acc + one_draw(j))
     # Almost every source needs one draw; its uniform number is then computed once per row.
-    once = F.size(F.filter("cdf", lambda c: c <= F.col("__ll_u")))
-    counted = joined.withColumn("__ll_u", _unit(F.lit(seed), _id_text(doc_id), F.lit("1"))).withColumn("n_copies", F.when(F.col("draws") == 1, once).otherwise(count))
-    copies = counted.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), _id_text(doc_id), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("bigint")
-    return copies.drop("__ll_source", "draws", "cdf", "__ll_u").withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    once = F.size(F.filter("__ll_cdf", lambda c: c <= F.col("__ll_u")))
+    counted = joined.withColumn("__ll_u", _unit(F.lit(seed), _id_text(doc_id), F.lit("1"))).withColumn(n_copies, F.when(F.col("__ll_draws") == 1, once).otherwise(several))
+    copies = counted.where(F.col(n_copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(n_copies) - 1)))
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), _id_text(doc_id), F.col(copy).cast("string"))), 1, 15), 16, 10).cast("bigint")
+    return copies.drop("__ll_source", "__ll_draws", "__ll_cdf", "__ll_u").withColumn(shuffle_key, key).repartition(shuffle_key).sortWithinPartitions(shuffle_key)
 
 
 ORACLE_SQL = f"""

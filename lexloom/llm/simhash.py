@@ -414,10 +414,13 @@ def similar_documents(docs: DataFrame, n: int = 5, doc_id: str = "doc_id", text:
 
 
 def keep_one(docs: DataFrame, n: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without near copies: of each group the row with the smallest id stays (all its columns). Rows of one id are one document; rows without an id go if their group has a document with one."""
-    found = materialise(similar_documents(docs, n, doc_id, text), "groups")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__ll_gone")).distinct()
-    kept = docs.join(gone, docs[doc_id].eqNullSafe(F.col("__ll_gone")), "left_anti")
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates([doc_id])
+    """docs without near copies: of each group the row with the smallest id stays (all its columns). Rows of one id are one
+    document; a row without an id counts as one of a number made from its text, larger than all ids."""
+    own = F.lit(NO_ID >> 1) + F.xxhash64(text_of(text)).bitwiseAND(F.lit((1 << 60) - 1))
+    rows = docs.withColumn("__ll_id", F.coalesce(F.col(doc_id).cast("bigint"), own))
+    found = materialise(similar_documents(rows, n, "__ll_id", text), "groups")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__ll_gone")).distinct()
+    kept = rows.join(gone, rows["__ll_id"] == F.col("__ll_gone"), "left_anti")
+    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["__ll_id"])
+    return kept.drop("__ll_id")

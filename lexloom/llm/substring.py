@@ -91,15 +91,18 @@ def repeated_spans(docs: DataFrame, min_line: int = MIN_LINE_WORDS, min_sentence
     return later.groupBy("__ll_id", "__ll_key").agg(F.collect_set(F.struct("a", "b", "line")).alias("spans"))
 
 
-def dedup_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_line: int = MIN_LINE_WORDS, min_sentence: int = MIN_SENTENCE_WORDS) -> DataFrame:
-    """docs' columns with the text cut, plus n_removed (int, spans), removed_chars (long) and removed_spans (array<struct<start, end>>, original character offsets)."""
-    kept = docs.drop(*[c for c in ("n_removed", "removed_chars", "removed_spans") if c not in (doc_id, text)])
+NAMES = ("n_removed", "removed_chars", "removed_spans")
+
+
+def dedup_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_line: int = MIN_LINE_WORDS, min_sentence: int = MIN_SENTENCE_WORDS, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """docs' columns with the text cut, plus, under the given names: n_removed (int, spans), removed_chars (long) and removed_spans (array<struct<start, end>>, original character offsets)."""
+    kept = docs.drop(*[c for c in names if c not in (doc_id, text)])
     rows = kept.withColumn(text, text_of(text))
     keyed = rows.withColumn("__ll_key", F.xxhash64(F.col(text)))
     spans = repeated_spans(keyed.select(F.col(doc_id).alias("__ll_id"), "__ll_key", F.col(text).cast("binary").alias("__ll_text")), min_line, min_sentence)
     spans = spans.select(F.col("__ll_id").alias("__ll_i"), F.col("__ll_key").alias("__ll_k"), "spans")
     joined = keyed.join(spans, keyed[doc_id].eqNullSafe(F.col("__ll_i")) & (F.col("__ll_key") == F.col("__ll_k")), "left").select(*[F.col(c) for c in rows.columns], F.col("spans").alias("__ll_spans"))
-    return _cut(joined, text)
+    return _cut(joined, text, names)
 
 
 def cut_spans(data: bytes, found: list[tuple[int, int, bool]]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -122,12 +125,12 @@ def cut_spans(data: bytes, found: list[tuple[int, int, bool]]) -> tuple[bytes, l
     return b"".join(out), chars
 
 
-def _cut(joined: DataFrame, text: str) -> DataFrame:
+def _cut(joined: DataFrame, text: str, names: tuple[str, str, str]) -> DataFrame:
     from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
     fields = [f for f in joined.schema.fields if f.name != "__ll_spans"]
-    schema = StructType([*fields, StructField("n_removed", IntegerType()), StructField("removed_chars", LongType()), StructField("removed_spans", ArrayType(span))])
+    schema = StructType([*fields, StructField(names[0], IntegerType()), StructField(names[1], LongType()), StructField(names[2], ArrayType(span))])
     at_text = [f.name for f in fields].index(text)
 
     def run(batches: Iterator) -> Iterator:
