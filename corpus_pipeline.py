@@ -29,13 +29,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines and sentences that an earlier document has; n_chars follows the text."""
-    cut = substring.dedup_texts(docs).select(*docs.columns)
+    cut = substring.dedup_texts(docs, names=("__ll_n", "__ll_chars", "__ll_spans")).select(*docs.columns)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def mix_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that each source has its target share, in shuffled order."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    return mixing.mix_sources(docs, names=("__ll_n", "__ll_copy", "__ll_order")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
