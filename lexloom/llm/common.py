@@ -23,6 +23,18 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; a task holds a few at a time.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Keep Arrow batches small, so that long texts don't add up in the Python workers."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key, "67108864b")).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests, one machine)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -38,7 +50,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
+    spark = small_batches(df.sparkSession)
     path = scratch(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -57,7 +69,7 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ascii_lower(col: Column) -> Column:

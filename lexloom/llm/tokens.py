@@ -21,7 +21,7 @@ import numpy as np
 from lexloom.llm.common import worker_state
 
 #: Pieces kept per worker process, and bytes of text handled at a time.
-CACHE_PIECES, STEP = 500_000, 4 << 20
+CACHE_PIECES, STEP = 300_000, 2 << 20
 #: Letters of ASCII and Latin-1, then ASCII marks (no apostrophe, which can start an ending such as 's): one or two pre-tokens.
 PLAIN = "^(?P<a>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<b>[!-&(-/:-;=?-@\\[-`{}~]*)$"
 
