@@ -420,7 +420,8 @@ def keep_one(docs: DataFrame, n: int = 5, doc_id: str = "doc_id", text: str = "t
     rows = docs.withColumn("__ll_id", F.coalesce(F.col(doc_id).cast("bigint"), own))
     found = materialise(similar_documents(rows, n, "__ll_id", text), "groups")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__ll_gone")).distinct()
-    kept = rows.join(gone, rows["__ll_id"] == F.col("__ll_gone"), "left_anti")
+    # The ids that go grow with the corpus, so the plan doesn't count on sending them to every task.
+    kept = rows.join(gone.hint("merge"), rows["__ll_id"] == F.col("__ll_gone"), "left_anti")
     if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["__ll_id"])
     return kept.drop("__ll_id")

@@ -86,7 +86,7 @@ def repeated_spans(docs: DataFrame, min_line: int = MIN_LINE_WORDS, min_sentence
     """Per (__ll_id, __ll_key) with something to cut: spans array<struct<a, b, line>>, in bytes."""
     found = materialise(unit_digests(docs, min_line, min_sentence), "units")
     rank = F.struct("__ll_id", "__ll_key", "a")
-    first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first")
+    first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
     later = found.join(first, ["h1", "h2"]).where(~F.col("first").eqNullSafe(rank))
     return later.groupBy("__ll_id", "__ll_key").agg(F.collect_set(F.struct("a", "b", "line")).alias("spans"))
 
