@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import materialise
 
-K, TREES, SHARE, LEAST = 20, 2, 0.8, 2_000
+#: SHARE counts the rows of the leaves taken, a row once for each tree.
+K, TREES, SHARE, LEAST = 20, 2, 1.25, 2_000
 SAMPLE, LEAF_ROWS, BUCKET_ROWS = 16_384, 256, 8_192
 
 

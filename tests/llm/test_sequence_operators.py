@@ -103,8 +103,9 @@ def test_packing_awkward(spark, tok):
     assert len(twice) == 2 and len({(r.sequence_id, r.offset) for r in twice}) == 2
     texts = {r.doc_id: r.text for r in docs.collect()}
     single = [r for r in rows if r.doc_id != 1] + twice[:1]
+    all_ids = {d: [*ids_of(tok, t), 0] for d, t in texts.items()}
     for r in single:
-        ids = [*ids_of(tok, texts[r.doc_id]), 0]
+        ids = all_ids[r.doc_id]
         assert r.ids_crc32 == crc(ids[r.start : r.start + r.length])
     assert {r.length for r in rows if r.doc_id in (2, 3, 4)} == {1}
     assert packing.pack_documents(nothing(spark)).count() == 0
