@@ -55,7 +55,7 @@ def test_invariants_and_storage(spark, docs, tmp_path):
     index = build_index(docs, IndexOptions(case_folding=True))
     assert index.postings.groupBy("doc_idx").agg(F.sum("tf").alias("n")).join(index.docs, "doc_idx", "right").where(F.coalesce("n", F.lit(0)) != F.col("dl")).count() == 0
     stats = index.describe()
-    assert (stats.n_docs, stats.n_tokens, stats.n_terms, stats.n_postings) == (8, 25, 7, 16)
+    assert (stats.n_docs, stats.n_tokens, stats.n_terms, stats.n_postings) == (8, 25, 7, 18)
     index.save(str(tmp_path / "i"))
     index.save(str(tmp_path / "i"))
     again = InvertedIndex.load(spark, str(tmp_path / "i"))
