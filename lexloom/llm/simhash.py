@@ -66,7 +66,7 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     """The k-th further hash of a hash (k = 0: itself): a bijective mix of 64 bits."""
     if k == 0:
         return h
-    z = h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k)
+    z = h + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
