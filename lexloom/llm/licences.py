@@ -1,10 +1,14 @@
 """Licence scans by sentence rules (DataFrame functions only).
 
-A text is cut into sentences (line wraps inside a sentence are undone first), each sentence is normalised (lower case,
-runs of anything but letters and digits become one blank, numbers standing for years become '#') and looked up among the
-known licence sentences. The found identifiers, in text order, are matched against ordered licence rules: a rule holds
-if its identifiers appear in that order; sentences in between that are not known don't matter. A rule that is part of a
-longer rule (say two clauses of three) gives way to it.
+A text is cut into sentences, each sentence is normalised (lower case, runs of anything but letters and digits become one
+blank) and looked up among the known licence sentences. Whether a line break ends a sentence can't be told from the break:
+a line that begins with a small letter goes on with the one before; any other break may end a title or be a wrap ('BASIS,'
+and 'WITHOUT WARRANTIES'), so each run of whole lines between two sentence ends is looked up that begins like a known
+sentence. Blank lines end a sentence; marks of comments don't count. The found identifiers, in text order, are matched
+against ordered licence rules: a rule holds if its identifiers appear in that order; sentences in between that are not
+known don't matter. A rule that is part of a longer rule (say two clauses of three) gives way to it.
+
+The SQL cuts at every line break that isn't followed by a small letter, so it finds less in wrapped and commented notices.
 
 All of this is one narrow projection: no shuffle, no join, so no key can be hot. The sentence table is a literal map.
 
@@ -83,10 +87,16 @@ RULES: list[tuple[str, list[str]]] = [
     ("all-rights-reserved", ["reserved"]),
 ]
 
-#: A wrapped line: no sentence end before the line break, a small letter after it. Both engines use these patterns.
+#: A wrapped line: no sentence end before the line break, a small letter after it. Both engines use this pattern.
 WRAP = r"([^.;:!?\s])[ \t]*\r?\n[ \t]*([a-z])"
-#: Sentences end at a line break, or at . ; : ! or ? before white space or the end.
+#: The SQL's sentences end at a line break, or at . ; : ! or ? before white space or the end.
 CUT = r"[.;:!?]+(?:\s+|$)|[\r\n]+"
+#: Comment marks that would count as words or sentence ends (NOISE takes the others), and the marks of list items.
+WORD_MARKS = r"(?m)^[ \t]*(?:dnl|rem|c[ \t])(?:[ \t]|$)"  # before WRAP, which would take them for words
+MARKS = r"(?m)^[ \t]*(?:[/*#%>-]*[;!:.]+[ \t]|(?:DNL|REM|C[ \t])(?:[ \t]|$)|[*#/% \t-]*\(?[0-9a-zA-Z]{1,2}\)[ \t])[ \t]*"
+#: Sentences end at . ; : ! or ? before white space or the end, but not in 'v. 2' and '; either version', or at a blank line (of a comment, too).
+END = r"(?:\.(?<!\b[vV]\.(?=\s{1,9}[0-9]))|[:!?]|;(?!\W+either\W+version\b))[.;:!?]*(?:\s+|$)|(?:\r\n|\n|\r(?!\n))[^\p{L}\p{N}\r\n]*(?=[\r\n])"
+BREAK = r"[\r\n]+"
 NOISE = r"[^a-z0-9]+"
 
 
@@ -110,11 +120,23 @@ def scan_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """Per row of docs: doc_id, sentence_ids ('<id><id>...' in text order), n_sentences (known ones), licences (sorted, comma-joined), n_licences."""
     known = F.create_map(*chain.from_iterable((F.lit(s), F.lit(i)) for i, s in SENTENCES.items()))
     longest, shortest = max(map(len, SENTENCES.values())), min(map(len, SENTENCES.values()))
-    unwrapped = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), WRAP, "$1 $2")
-    pieces = F.split(unwrapped, CUT)
+    sentences = F.array(*map(F.lit, SENTENCES.values()))
+    most = max(len(s.split()) for s in SENTENCES.values())  # lines: each has a word
+    unwrapped = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), WORD_MARKS, ""), WRAP, "$1 $2")
+    pieces = F.split(F.regexp_replace(unwrapped, MARKS, ""), END)
     # Normalising never makes a sentence longer than it was, so short pieces can't be known sentences.
     plausible = F.filter(pieces, lambda s: F.length(s) >= shortest)
-    normal = F.filter(F.transform(plausible, normalise_sentence), lambda s: F.length(s).between(shortest, longest))
+    lines = F.transform(plausible, lambda s: F.filter(F.transform(F.split(s, BREAK), normalise_sentence), lambda x: x != ""))
+
+    def runs(own: Column) -> Column:
+        """The runs of lines that may be known sentences, by their first line, then by their length."""
+        def from_line(x: Column, i: Column) -> Column:
+            begins = F.exists(sentences, lambda s: s.startswith(x))
+            return F.when(begins, F.transform(F.sequence(F.lit(1), F.least(F.size(own) - i, F.lit(most))), lambda n: F.array_join(F.slice(own, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+
+        return F.when(F.size(own) <= 1, own).otherwise(F.flatten(F.transform(own, from_line)))
+
+    normal = F.filter(F.flatten(F.transform(lines, runs)), lambda s: F.length(s).between(shortest, longest))
     found = F.filter(F.transform(normal, lambda s: F.try_element_at(known, s)), lambda s: s.isNotNull())
     rows = docs.select(F.col(doc_id).alias("doc_id"), found.alias("__ll_ids"))
     rows = rows.withColumn("sentence_ids", F.array_join(F.transform("__ll_ids", lambda s: F.concat(F.lit("<"), s, F.lit(">"))), ""))

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import textwrap
 import zlib
 
 import numpy as np
@@ -90,6 +91,98 @@ def test_licence_rules(spark):
     assert found[3].n_sentences == 3 and found[5].n_licences == 0
 
 
+APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL3_NOTICE = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+GPL2_NOTICE = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version."""
+MIT_NOTICE = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+ISC_NOTICE = """Copyright (c) 2020, Some One
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES."""
+BSD_NOTICE = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+NOTICES = {"Apache-2.0": APACHE_NOTICE, "GPL-3.0-or-later": GPL3_NOTICE, "GPL-2.0-or-later": GPL2_NOTICE, "MIT": MIT_NOTICE, "ISC": ISC_NOTICE, "BSD-3-Clause": BSD_NOTICE, "MPL-2.0": MPL_NOTICE}
+
+
+def in_comment(mark, text):
+    return "".join(f"{mark} {x}".rstrip() + "\n" for x in text.split("\n"))
+
+
+def narrow(text, width):
+    return "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+
+
+def test_published_notices(spark):
+    ways = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: narrow(t, 40), lambda t: narrow(t, 100_000), lambda t: f"/*\n{in_comment(' *', t)} */\ncode();"]
+    ways += [lambda t, m=m: in_comment(m, t) + "code" for m in ("#", "//", "--", ";;", "!", "%", "dnl", "REM")]
+    rows = [(i * 100 + k, way(t)) for i, t in enumerate(NOTICES.values()) for k, way in enumerate(ways)]
+    found = {r.doc_id: r.licences for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    names = list(NOTICES)
+    assert {d: x for d, x in found.items() if x != names[d // 100]} == {}
+
+
+def test_lines_that_stand_alone_are_still_found(spark):
+    texts = ["Some title\nLicensed under the MIT license\nAnother title", "Copyright 2020 Some One\nAll rights reserved", "a title\n# licensed under the MIT license", "a) All rights reserved.", "Licensed under the Apache License, Version 2.0\n(the \"Licence\")", "This is not\nlicensed under the MIT license."]
+    found = {r.doc_id: r.licences for r in licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [found[i] for i in range(6)] == ["MIT", "all-rights-reserved", "MIT", "all-rights-reserved", "Apache-2.0", ""]
+
+
 def test_licence_plan_is_narrow(spark):
     plan = licences.scan_licences(table(spark, "documents"))._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
