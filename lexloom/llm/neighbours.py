@@ -17,7 +17,8 @@ The share of rows to look at is a parameter, since what a recall costs depends o
 random ones of 64 dimensions) need most of the rows, clustered ones a small part.
 
 Defined results: null vectors, zero vectors and those with null or non-finite components take no part, nor do vectors
-whose length isn't the most common one, nor rows with a null id; repeated ids are returned once per query; a query's own
+whose length isn't the most common one, nor rows with a null id; repeated ids are returned once per query, by
+their best row, and take one place; a query's own
 row (id) is never returned; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -132,8 +133,13 @@ def best_of(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, q: np.ndarray,
     """(query row, id, score) of each query's k largest inner products over the rows, ties to smaller ids, its own id left out."""
     rough = q @ x.T
     rough[queries[:, None] == ids] = -np.inf
-    n = rough.shape[1]
-    floor = np.partition(rough, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf)
+    best = rough
+    order = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
+    if len(starts) < len(ids):  # rows of one id take one of the k places
+        best = np.maximum.reduceat(rough[:, order], starts, axis=1)
+    n = best.shape[1]
+    floor = np.partition(best, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf)
     slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0)))  # a matrix product may round equal rows differently
     a, b = np.nonzero((rough >= (floor - slack)[:, None]) & np.isfinite(rough))
     score = np.empty(len(a))
@@ -160,7 +166,7 @@ def nearest(table: DataFrame, every: int = 20, k: int = K, trees: int = TREES, s
     spark = table.sparkSession
     out = "query_id bigint, rank int, vec_id bigint, score double"
     vectors, kind = usable_vectors(table, vec_id, vector)
-    vectors = materialise(vectors, "vectors")
+    vectors = materialise(vectors.dropDuplicates(["id", "v"]), "vectors")  # a repeated row counts once in leaves and budgets
     dims = vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max("norm2").alias("norm2")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
     if not dims:
         return spark.createDataFrame([], out)
@@ -283,5 +289,6 @@ def nearest(table: DataFrame, every: int = 20, k: int = K, trees: int = TREES, s
 
     answers = dealt.mapInArrow(rerank, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    ranked = answers.withColumn("rank", F.dense_rank().over(best)).where(F.col("rank") <= k).dropDuplicates(["query_id", "rank"])
+    once = answers.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # an id's rows may lie in several buckets
+    ranked = once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -218,3 +218,22 @@ def test_neighbours_awkward(spark):
     assert {q: [j for j, _ in v] for q, v in got.items()} == {0: [20, 3], 20: [0, 3]}
     assert neighbours.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
     assert neighbours.nearest(spark.createDataFrame([(0, [1.0])], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("spread", [0.0, 1e-3])
+@pytest.mark.parametrize("leaf_rows", [16, 256])
+def test_repeated_ids_take_one_place(spark, spread, leaf_rows):
+    """One id on 60 rows near the query, equal ones or not: 20 other ids come back all the same."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 8))
+    x[1] = 1.2 * x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1, (x[1] + spread * rng.normal(size=8)).tolist()) for _ in range(60)]
+    got = answers(neighbours.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), share=2.0, leaf_rows=leaf_rows, bucket_rows=32))
+    assert set(got) == set(range(0, 200, 20))
+    every = np.array([v for _, v in rows])
+    for q, found in got.items():
+        score = {}
+        for (i, _), s in zip(rows, every @ x[q], strict=True):
+            score[i] = max(s, score.get(i, -np.inf))
+        del score[q]
+        assert [j for j, _ in found] == sorted(score, key=lambda j: (-score[j], j))[:20]
