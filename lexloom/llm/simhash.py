@@ -16,7 +16,8 @@ nodes is split further by the blocks of its remaining bits, again exactly; so a
 Nothing about all documents reaches the driver.
 
 Several tables (`tables` > 1) serve lower similarities: each 64-bit word gives two 32-bit tables, links are
-candidates of any table whose whole fingerprints agree well enough (`max_total`).
+candidates of any table whose whole fingerprints agree well enough (`max_total`). similar_documents checks each candidate
+by the exact Jaccard similarity of the shingle sets.
 
 Defined results: null texts are empty, a text without words has fingerprint zero; a text of fewer words than a shingle is
 one shingle; rows with a null id take part, component_id is the smallest id that isn't null (null if there is none);
@@ -238,8 +239,9 @@ def merge_links(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def group_links(ids: np.ndarray, values: np.ndarray, whole: np.ndarray | None, max_diff: int, max_total: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (member, root) of the links in one group. whole: all fingerprint words, compared too if given."""
+def group_links(ids: np.ndarray, values: np.ndarray, whole: np.ndarray | None, max_diff: int, max_total: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (member, root) of the links in one group. whole: all fingerprint words, compared too if given.
+    known: components known so far; then all links between different ones."""
     order = np.lexsort((ids, gray_rank(values)))
     ids, values = ids[order], values[order]
     label = np.arange(len(ids))
@@ -248,16 +250,23 @@ def group_links(ids: np.ndarray, values: np.ndarray, whole: np.ndarray | None, m
     else:
         pairs = GrayIndex(values).links(max_diff)
     w = whole[order] if whole is not None else None
+    own = known[order] if known is not None else None
+    every: list[tuple[np.ndarray, np.ndarray]] = []
     for a, b in pairs:
         if w is not None:
-            open_ = label[a] != label[b]
+            open_ = label[a] != label[b] if own is None else own[a] != own[b]
             a, b = a[open_], b[open_]
             near = np.zeros(len(a), dtype=bool)
             for at in range(0, len(a), 1 << 16):
                 s = slice(at, at + (1 << 16))
                 near[s] = np.bitwise_count(w[a[s]] ^ w[b[s]]).sum(axis=1, dtype=np.int64) <= max_total
             a, b = a[near], b[near]
+        if own is not None:
+            every.append((ids[a], ids[b]))
+            continue
         label = merge_links(label, a, b)
+    if own is not None:
+        return tuple(np.concatenate(x) for x in zip((ids[:0], ids[:0]), *every, strict=True))
     member = np.flatnonzero(label != np.arange(len(ids)))
     return ids[member], ids[label[member]]
 
@@ -298,9 +307,10 @@ def _children(path: tuple, width: int, words: int, max_diff: int) -> list[tuple]
     return []
 
 
-def near_links(nodes: DataFrame, words: int = 1, width: int = 64, max_diff: int = 2, max_total: int | None = None, group_rows: int = 1 << 16) -> DataFrame:
-    """nodes: id, f0 .. (distinct). Links u, v (long) that connect exactly what differs in at most max_diff bits in some table (and max_total in all)."""
-    fs = [f"f{k}" for k in range(words)]
+def near_links(nodes: DataFrame, words: int = 1, width: int = 64, max_diff: int = 2, max_total: int | None = None, group_rows: int = 1 << 16, known: str | None = None) -> DataFrame:
+    """nodes: id, f0 .. (distinct). Links u, v (long) that connect exactly what differs in at most max_diff bits in some table
+    (and max_total in all). known: a column of components; then all such pairs of different ones."""
+    fs = [f"f{k}" for k in range(words)] + ([known] if known else [])
     tables = [(t, ()) for t in range(words * (64 // width))]
     paths = [p for t in tables for p in _children(t, width, words, max_diff)]
     names = {i: p for i, p in enumerate(paths)}
@@ -313,10 +323,10 @@ def near_links(nodes: DataFrame, words: int = 1, width: int = 64, max_diff: int
         splits = {i: _children(names[i], width, words, max_diff) for i in hot_paths}
         splits = {i: c for i, c in splits.items() if c}
         if not splits:
-            found.append(_search(entries, names, words, width, max_diff, max_total, carried))
+            found.append(_search(entries, names, words, width, max_diff, max_total, carried, known))
             break
         hot = hot.where(F.col("path").isin(list(splits)))
-        found.append(_search(entries.join(hot, ["path", "key"], "left_anti"), names, words, width, max_diff, max_total, carried))
+        found.append(_search(entries.join(hot, ["path", "key"], "left_anti"), names, words, width, max_diff, max_total, carried, known))
         inside = entries.join(hot, ["path", "key"], "left_semi")
         finer, at = [], max(names) + 1
         for i, children in splits.items():
@@ -334,7 +344,7 @@ def near_links(nodes: DataFrame, words: int = 1, width: int = 64, max_diff: int
     return links
 
 
-def _search(entries: DataFrame, names: dict, words: int, width: int, max_diff: int, max_total: int | None, carried: list[str] | None) -> DataFrame:
+def _search(entries: DataFrame, names: dict, words: int, width: int, max_diff: int, max_total: int | None, carried: list[str] | None, known: str | None = None) -> DataFrame:
     """Deal entries out by group and index each group."""
     per_word = 64 // width
     picks = {i: (p[0] // per_word, p[0] % per_word * width) for i, p in names.items()}
@@ -361,10 +371,13 @@ def _search(entries: DataFrame, names: dict, words: int, width: int, max_diff: i
             us, vs = [], []
             for a, b in zip(starts[several], ends[several], strict=True):
                 part = block[a:b]
-                whole = part[:, 3:].view(np.uint64) if carried else None
-                u, v = group_links(part[:, 1], part[:, 2].copy().view(np.uint64), whole, max_diff, max_total or 0)
+                whole = np.ascontiguousarray(part[:, 3 : 3 + words]).view(np.uint64) if carried else None
+                u, v = group_links(part[:, 1], part[:, 2].copy().view(np.uint64), whole, max_diff, max_total or 0, part[:, 3 + words] if known else None)
                 us.append(u)
                 vs.append(v)
+                if sum(map(len, us[-64:])) > 1 << 18:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+                    us, vs = [], []
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
@@ -403,14 +416,65 @@ def near_duplicates(docs: DataFrame, n: int = 3, max_diff: int = 2, doc_id: str
 
 
 #: Four 64-bit words over sets of five-word shingles: eight 32-bit tables. Bits that differ for a Jaccard similarity s:
-#: 256 * acos(2s / (1 + s)) / pi on average; 39 at 0.8, with a standard deviation of 6.
-WORDS, WIDTH, TABLE_DIFF, TOTAL_DIFF = 4, 32, 3, 42
+#: 256 * acos(2s / (1 + s)) / pi on average; 39 at 0.8, with a standard deviation of 6. Pairs up to these limits are
+#: candidates (0.99 of the pairs at 0.8 by the binomial law, more above); a pair counts if its sets agree by SIMILAR.
+WORDS, WIDTH, TABLE_DIFF, TOTAL_DIFF, SIMILAR = 4, 32, 4, 60, 0.8
+#: The first search joins what is closest, by spanning forests; the second one takes all candidates between what isn't joined.
+NEAR_DIFF, NEAR_TOTAL = 3, 32
+
+
+def similar_pairs(pairs: DataFrame, rows: DataFrame, n: int, least: float = SIMILAR) -> DataFrame:
+    """pairs: u, v (ids). Those whose sets of n-word shingles have a Jaccard similarity of `least` or more. rows: id, text."""
+    pairs = materialise(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+    wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    texts = rows.join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id", "text"])
+
+    def hashed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [b"".join(h.tobytes() for h in shingle_hashes(x.as_py(), n, True)) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
+
+    sets = materialise(texts.mapInArrow(hashed, "id bigint, s binary"), "sets")
+    first = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")).hint("merge"), "u")
+    both = first.join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")).hint("merge"), "v")
+    # |A and B| >= least * |A or B| can't hold where one set is much the smaller.
+    sizes = F.least(F.length("a"), F.length("b")) >= F.lit(least) * F.greatest(F.length("a"), F.length("b")) - F.lit(1e-6)
+
+    def check(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
+
+    return materialise(both.where(sizes).select("u", "v", "a", "b").mapInArrow(check, "u bigint, v bigint").distinct(), "similar")
 
 
 def similar_documents(docs: DataFrame, n: int = 5, doc_id: str = "doc_id", text: str = "text", group_rows: int = 1 << 16) -> DataFrame:
-    """doc_id, component_id: documents whose sets of n-word shingles have an estimated Jaccard similarity of 0.8 or more, chained."""
-    prints = materialise(fingerprints(docs, n, WORDS, True, doc_id, text), "prints")
-    return components(prints, WORDS, WIDTH, TABLE_DIFF, TOTAL_DIFF, group_rows).select("doc_id", "component_id")
+    """doc_id, component_id: documents whose sets of n-word shingles have a Jaccard similarity of 0.8 or more, chained."""
+    own = F.lit(NO_ID) + F.xxhash64(text_of(text)).bitwiseAND(F.lit((1 << 61) - 1))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), own).alias("id"), text_of(text).cast("binary").alias("text"))
+    prints = materialise(fingerprints(rows.withColumn("text", F.col("text").cast("string")), n, WORDS, True, "id", "text"), "prints")
+    fs = [f"f{k}" for k in range(WORDS)]
+    nodes = materialise(prints.groupBy(*fs).agg(F.min("doc_id").alias("id")), "nodes")
+    close = similar_pairs(near_links(nodes, WORDS, WIDTH, NEAR_DIFF, NEAR_TOTAL, group_rows), rows, n)
+    roots = connected(close)
+    marked = materialise(nodes.join(roots, nodes["id"] == roots["u"], "left").select(*fs, "id", F.coalesce("v", "id").alias("known")), "marked")
+    more = similar_pairs(near_links(marked, WORDS, WIDTH, TABLE_DIFF, TOTAL_DIFF, group_rows, "known"), rows, n)
+    # Joined by roots: what the first search found counts as its roots.
+    roots = connected(roots.unionByName(more))
+    label = F.coalesce(F.col("v"), F.col("id"))
+    named = nodes.join(roots, nodes["id"] == roots["u"], "left").select(*[F.col(f).alias(f"__ll_{f}") for f in fs], F.when(label < NO_ID, label).alias("component_id"))
+    joined = prints.join(named, [prints[f] == F.col(f"__ll_{f}") for f in fs])
+    return joined.select(F.when(F.col("doc_id") < NO_ID, F.col("doc_id")).alias("doc_id"), "component_id")
 
 
 def keep_one(docs: DataFrame, n: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -142,6 +142,26 @@ def test_similar_documents_against_jaccard(spark):
     assert all(got[a] in (a, a - 1) for a in got)
 
 
+def test_similar_documents_are_exact(spark):
+    """Pairs close to the limit: those at 0.8 and more are linked, those below aren't; so are the large groups of one template."""
+    rng = random.Random(12)
+    texts, pairs = [], []
+    for k in range(400):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(124)]  # 120 shingles
+        changed = list(words)
+        for at in range(2, 2 + k % 8 * 1 * 5, 5):
+            changed[at] = "other"
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(words), " ".join(changed)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    sets = [shingles(t) for t in texts]
+    near = [(got[a] == got[b], len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a, b in pairs]
+    at_limit = [x for x, s in near if 0.8 <= s < 0.86]
+    assert not any(x for x, s in near if s < 0.8) and sum(s < 0.8 for _, s in near) >= 150
+    assert len(at_limit) >= 50 and sum(at_limit) >= 0.97 * len(at_limit) and all(x for x, s in near if s > 0.9)
+
+
 # ---- components ----
 
 
