@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from lexloom.llm.common import materialise, text_of
 from lexloom.llm.tokens import encoder, resolve
@@ -35,20 +35,28 @@ END_ID = 0
 
 
 class Sums:
-    """Availability counts by length, and an index of the pair sums of available lengths that follows them."""
+    """Availability counts by length, and an index of the single, pair and triple sums of available lengths that follows them."""
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts
         self.alive = np.zeros(len(counts), dtype=bool)
-        self.pairs = np.zeros(2 * len(counts), dtype=np.int64)  # by sum: how many pairs of available lengths make it
+        # By sum: how many pairs and triples of available lengths (a length may stand twice or thrice) make it.
+        self.pairs = np.zeros(2 * len(counts), dtype=np.int64)
+        self.triples = np.zeros(len(counts), dtype=np.int64)
         for x in np.flatnonzero(counts):
             self._turn(int(x), 1)
 
     def _turn(self, x: int, sign: int) -> None:
+        """A length becomes available or runs out: the pairs and triples that it is part of come or go."""
+        size = len(self.triples) - x
         if sign > 0:
             self.alive[x] = True
+        else:
+            self.triples[x:] -= self.pairs[:size]
         self.pairs[x + np.flatnonzero(self.alive)] += sign
-        if sign < 0:
+        if sign > 0:
+            self.triples[x:] += self.pairs[:size]
+        else:
             self.alive[x] = False
 
     def add(self, x: int, n: int) -> None:
@@ -73,6 +81,8 @@ class Sums:
             if ok.any():
                 x = int(low[np.flatnonzero(ok)[-1]])  # the pair nearest to halves keeps long and short pieces for other gaps
                 return [gap - x, x]
+        if not self.triples[gap]:
+            return None
         # Triples x <= y <= z: where the pair index has the complement of x; the counts decide. Longest x first.
         third = have[have * 3 <= gap]
         for x in third[self.pairs[gap - third] > 0][::-1]:
@@ -142,37 +152,54 @@ def plan_runs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple
 # ---- pieces ----------------------------------------------------------------------------------------------------
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per piece: doc_id, piece (int, from 0), start (long, ids before it in its document), length (long), ids (binary, little-endian unsigned 32-bit)."""
+def tokenize_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True, ranked: bool = False) -> DataFrame:
+    """Per piece: doc_id, piece (int, from 0), start (long, ids before it in its document), length (long), ids_crc32 (long,
+    unsigned, of the little-endian unsigned 32-bit ids), ids (binary, if with_ids); with `ranked` also what pack_best_fit
+    adds to its rows, in the same pass over the text."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
+    fields = [rows.schema["doc_id"], StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()), StructField("ids_crc32", LongType())]
+    schema = StructType(fields + [StructField("ids", BinaryType())] * with_ids + [StructField(c, LongType()) for c in RANK] * ranked)
 
     def run(batches: Iterator) -> Iterator:
+        from zlib import crc32
+
         import pyarrow as pa
+        from pyspark import TaskContext
 
         enc = encoder(resolve(tokenizer))
         end = np.asarray([end_id], dtype="<u4").tobytes()
         step = 4 * capacity
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+
+        def emit(kind, keys, places, sums, ids):
+            at = np.array(places, dtype=np.int64).reshape(-1, 3)
+            columns = [pa.array(keys, kind), pa.array(at[:, 0].astype(np.int32)), pa.array(at[:, 1].copy()), pa.array(at[:, 2].copy()), pa.array(sums, pa.int64())]
+            if with_ids:
+                columns.append(pa.array(ids, pa.binary()))
+            if ranked:
+                columns += [pa.array(np.full(len(at), part)), pa.array(_ranks(at[:, 2], seen))]
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
         for batch in batches:
-            ids_of, out, held = batch.column(0), [[], [], [], [], []], 0
-            for row, found in zip(ids_of, enc.encode_column(batch.column(1)), strict=True):
+            keys_of, out, held = batch.column(0), ([], [], [], []), 0
+            for row, found in zip(keys_of, enc.encode_column(batch.column(1)), strict=True):
                 ids, key = found.tobytes() + end, row.as_py()
                 for k in range(0, len(ids), step):
-                    part = ids[k : k + step]
-                    for col, value in zip(out, (key, k // step, k // 4, len(part) // 4, part), strict=True):
+                    piece = ids[k : k + step]
+                    for col, value in zip(out, (key, (k // step, k // 4, len(piece) // 4), crc32(piece), piece if with_ids else None), strict=True):
                         col.append(value)
-                    held += len(part)
+                    held += len(piece) if with_ids else 64
                 if held > 8 << 20:
-                    yield _pieces(pa, out, ids_of.type)
-                    out, held = [[], [], [], [], []], 0
+                    yield emit(keys_of.type, *out)
+                    out, held = ([], [], [], []), 0
             if out[0]:
-                yield _pieces(pa, out, ids_of.type)
+                yield emit(keys_of.type, *out)
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary")
+    return rows.mapInArrow(run, schema)
 
 
-def _pieces(pa, out: list[list], kind):
-    return pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
+#: A piece's place among the rows of its length: the number of the task that wrote it, and its rank there.
+RANK = ("__ll_part", "__ll_k")
 
 
 def _ranks(lengths: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -194,7 +221,7 @@ def pack_best_fit(pieces: DataFrame, capacity: int = CAPACITY, length: str = "le
     replaced.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    ranked = StructType([*pieces.schema.fields, StructField("__ll_part", LongType()), StructField("__ll_k", LongType())])
+    ranked = StructType([*pieces.schema.fields, *[StructField(c, LongType()) for c in RANK]])
 
     def rank(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -204,17 +231,22 @@ def pack_best_fit(pieces: DataFrame, capacity: int = CAPACITY, length: str = "le
         for batch in batches:
             lengths = batch.column(batch.schema.get_field_index(length)).to_numpy(zero_copy_only=False).astype(np.int64)
             k = _ranks(lengths, seen)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(k), part)), pa.array(k)], names=[*batch.schema.names, "__ll_part", "__ll_k"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(k), part)), pa.array(k)], names=[*batch.schema.names, *RANK])
+
+    return _place(materialise(pieces.mapInArrow(rank, ranked), "pieces"), capacity, length)
+
 
-    written = materialise(pieces.mapInArrow(rank, ranked), "pieces")
-    per_part = written.groupBy(F.col("__ll_part").alias("__ll_p"), F.col(length).cast("bigint").alias("__ll_len")).agg(F.count(F.lit(1)).alias("n"))
+def _place(written: DataFrame, capacity: int, length: str) -> DataFrame:
+    """written: a table of ranked pieces. Plan on its histogram, and give each piece its place."""
+    fields = [f for f in written.schema.fields if f.name not in RANK]
+    per_part = written.groupBy(F.col(RANK[0]).alias("__ll_p"), F.col(length).cast("bigint").alias("__ll_len")).agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["__ll_len"]: r["n"] for r in per_part.groupBy("__ll_len").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     runs = np.asarray(sorted(plan_runs(histogram, capacity)), dtype=np.int64).reshape(-1, 5)
     before = Window.partitionBy("__ll_len").orderBy("__ll_p").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_part.select("__ll_p", "__ll_len", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__ll_base"))
-    based = written.join(bases, (F.col("__ll_part") == F.col("__ll_p")) & (F.col(length) == F.col("__ll_len")))
-    numbered = based.select(*pieces.columns, (F.col("__ll_base") + F.col("__ll_k")).alias("__ll_number"))
-    placed = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    based = written.join(bases, (F.col(RANK[0]) == F.col("__ll_p")) & (F.col(length) == F.col("__ll_len")))
+    numbered = based.select(*[F.col(f.name) for f in fields], (F.col("__ll_base") + F.col(RANK[1])).alias("__ll_number"))
+    placed = StructType([*fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     key = runs[:, 0] << 44 | runs[:, 1]  # (length, first number): sorted
 
     def place(batches: Iterator) -> Iterator:
@@ -232,6 +264,5 @@ def pack_best_fit(pieces: DataFrame, capacity: int = CAPACITY, length: str = "le
 
 def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Tokenise, cut and pack: doc_id, piece, start, length, ids_crc32 (and ids), sequence_id, offset."""
-    pieces = tokenize_pieces(docs, tokenizer, capacity, end_id, doc_id, text)
-    columns = ["doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), *(["ids"] if with_ids else [])]
-    return pack_best_fit(pieces.select(*columns), capacity)
+    pieces = tokenize_pieces(docs, tokenizer, capacity, end_id, doc_id, text, with_ids, ranked=True)
+    return _place(materialise(pieces, "pieces"), capacity, "length")
