@@ -2,7 +2,7 @@
 
 `describe_media` adds to each row the decoded shape, an NPY tile (area-resized by integral images) and a difference hash.
 `texts_as_media` stores any text losslessly as a grey Netpbm image. Images are handled one row at a time inside Arrow
-batches, so memory is that of the largest image.
+batches; resizing sums samples between its cuts only, so memory is a few copies of the largest image.
 
 Defined results: null or damaged media have null shape, tile and hash and an `error`; an empty text is one row of 64 zero
 bytes; repeated rows give equal values; an empty table gives an empty result; other columns pass through untouched, those
@@ -26,6 +26,7 @@ from lexloom.llm.common import materialise, text_of
 ROW = 64  # bytes of payload in a row of a stored text's image
 TILE = 16  # side of a tile
 HASH = 8  # a difference hash has HASH x HASH bits
+SMALL = 1 << 16  # samples of which the whole integral image is made
 
 
 # ---- formats ---------------------------------------------------------------------------------------------------
@@ -149,15 +150,34 @@ def _cuts(size: int, out: int) -> tuple[np.ndarray, np.ndarray]:
     return at // out, at % out
 
 
+def _integral(grey: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The integral image at the given rows and columns only (ascending, from 0). Beyond SMALL samples they are summed between
+    cuts, along the longer side first, so the most that is held is some cuts times the shorter side."""
+    if grey.size <= SMALL:
+        table = np.zeros((grey.shape[0] + 1, grey.shape[1] + 1), dtype=np.int64)
+        table[1:, 1:] = grey.astype(np.int64).cumsum(0).cumsum(1)
+        return table[rows[:, None], columns]
+    if grey.shape[0] < grey.shape[1]:
+        return _integral(grey.T, columns, rows).T
+    bands = np.zeros((len(rows), grey.shape[1]), dtype=np.int64)
+    for i in range(1, len(rows)):
+        bands[i] = grey[rows[i - 1] : rows[i]].sum(axis=0, dtype=np.int64)
+    table = np.zeros((len(rows), len(columns)), dtype=np.int64)
+    for i in range(1, len(columns)):
+        table[:, i] = bands[:, columns[i - 1] : columns[i]].sum(axis=1)
+    return table.cumsum(0).cumsum(1)
+
+
 def area_resize(grey: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean over each cell's exact area, cells cutting through samples included, from the integral image; whole numbers throughout."""
-    table = np.zeros((grey.shape[0] + 1, grey.shape[1] + 1), dtype=np.int64)
-    table[1:, 1:] = grey.astype(np.int64).cumsum(0).cumsum(1)
     ys, fy = _cuts(grey.shape[0], height)
     xs, fx = _cuts(grey.shape[1], width)
     y1, x1 = np.minimum(ys + 1, grey.shape[0]), np.minimum(xs + 1, grey.shape[1])
-    rows = table[ys] * (height - fy)[:, None] + table[y1] * fy[:, None]  # the integral at fractional heights, times `height`
-    full = rows[:, xs] * (width - fx) + rows[:, x1] * fx
+    rows, columns = np.unique([*ys, *y1]), np.unique([*xs, *x1])
+    table = _integral(grey, rows, columns)
+    at = lambda of, places: np.searchsorted(of, places)
+    table = table[at(rows, ys)] * (height - fy)[:, None] + table[at(rows, y1)] * fy[:, None]  # the integral at fractional heights, times `height`
+    full = table[:, at(columns, xs)] * (width - fx) + table[:, at(columns, x1)] * fx
     sums = full[1:, 1:] - full[:-1, 1:] - full[1:, :-1] + full[:-1, :-1]
     area = grey.shape[0] * grey.shape[1]
     return ((2 * sums + area) // (2 * area)).astype(np.uint16)  # a cell holds area / (height * width); sums carry height * width
@@ -167,8 +187,12 @@ def grey_of(image: np.ndarray) -> np.ndarray:
     """Luma of an RGB image by whole-number weights (Rec. 601)."""
     if image.ndim == 2:
         return image
-    c = image.astype(np.uint32)
-    return ((299 * c[:, :, 0] + 587 * c[:, :, 1] + 114 * c[:, :, 2] + 500) // 1000).astype(image.dtype)
+    out = np.empty(image.shape[:2], image.dtype)
+    step = max(1, (1 << 18) // image.shape[1])
+    for at in range(0, len(image), step):  # some rows at a time, as 32-bit numbers take more room than the image
+        c = image[at : at + step].astype(np.uint32)
+        out[at : at + step] = (299 * c[:, :, 0] + 587 * c[:, :, 1] + 114 * c[:, :, 2] + 500) // 1000
+    return out
 
 
 def difference_hash(grey: np.ndarray, side: int = HASH) -> str:
@@ -180,7 +204,7 @@ def difference_hash(grey: np.ndarray, side: int = HASH) -> str:
 def tile_npy(grey: np.ndarray, side: int = TILE) -> bytes:
     """The resized image as an NPY file (uint8, or uint16 for deep images)."""
     out = io.BytesIO()
-    np.save(out, area_resize(grey, side, side).astype(grey.dtype), allow_pickle=False)
+    np.save(out, np.ascontiguousarray(area_resize(grey, side, side), grey.dtype), allow_pickle=False)
     return out.getvalue()
 
 
@@ -240,26 +264,27 @@ def texts_as_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def media_digests(stored: DataFrame) -> DataFrame:
-    """What the stored media hold, computed from their bytes alone: payload and media digests beside describe_media's hash and tile."""
-    described = describe_media(stored)
-    kind = described.schema["doc_id"].dataType.simpleString()
+    """What the stored media hold, computed from their bytes alone: payload and media digests, and describe_media's hash and
+    tile. Each image is decoded once."""
+    kind = stored.schema["doc_id"].dataType.simpleString()
+
+    def one(media: bytes) -> tuple:
+        image = decode(media)
+        payload = payload_of(image)
+        grey = grey_of(image)
+        feature = f"{difference_hash(grey)}:{zlib.crc32(tile_npy(grey)):08x}"
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         for batch in batches:
-            at = {c: i for i, c in enumerate(batch.schema.names)}
-            out: list[list] = [[] for _ in range(6)]
-            for m, tile, dhash in zip(batch.column(at["media"]), batch.column(at["tile"]), batch.column(at["dhash"]), strict=True):
-                media = m.as_py()
-                payload = payload_of(decode(media))
-                values = len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), f"{dhash.as_py()}:{zlib.crc32(tile.as_py()):08x}"
-                for col, v in zip(out, values, strict=True):
-                    col.append(v)
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(at["doc_id"]), batch.column(at["n_bytes"]), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return described.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+            found = [one(m.as_py()) for m in batch.column(2)]
+            new = [pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *new], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
 def store_media(media: DataFrame) -> DataFrame:

@@ -191,6 +191,30 @@ def test_media_query(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
         assert seen.setdefault(data, r.feature) == r.feature
+        assert r.feature == naive_feature(np.frombuffer(payload, np.uint8).reshape(-1, 64))
+
+
+def naive_feature(image):
+    """Hash and tile from plain means over exact areas, halves rounded up."""
+    cells = np.floor(naive_resize(image, 8, 9) + 0.5 + 1e-9)
+    bits = "".join("1" if a < b else "0" for row in cells for a, b in zip(row, row[1:]))
+    out = io.BytesIO()
+    np.save(out, np.ascontiguousarray(np.floor(naive_resize(image, 16, 16) + 0.5 + 1e-9), np.uint8))
+    return f"{int(bits, 2):016x}:{zlib.crc32(out.getvalue()):08x}"
+
+
+def test_long_image_memory():
+    """A long image is resized in little more room than itself."""
+    import tracemalloc
+
+    image = np.zeros((1 << 18, 64), np.uint8)
+    tracemalloc.start()
+    media.difference_hash(image)
+    media.tile_npy(image.T)
+    media.grey_of(np.zeros((1 << 14, 64, 3), np.uint8))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < image.size
 
 
 def naive_resize(image, height, width):
@@ -199,8 +223,10 @@ def naive_resize(image, height, width):
     return fine.reshape(height, h, width, w).mean((1, 3))
 
 
+@pytest.mark.parametrize("small", [media.SMALL, 0])
 @pytest.mark.parametrize("shape", [(1, 64), (3, 5), (17, 64), (64, 64), (9, 8), (200, 3)])
-def test_area_resize(shape):
+def test_area_resize(shape, small, monkeypatch):
+    monkeypatch.setattr(media, "SMALL", small)
     image = np.random.default_rng(1).integers(0, 256, shape).astype(np.uint8)
     for out in ((16, 16), (8, 9), (1, 1)):
         assert np.abs(media.area_resize(image, *out) - naive_resize(image, *out)).max() <= 0.5
