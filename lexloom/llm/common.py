@@ -48,10 +48,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
+#: Narrow rows (some numbers each) that make a file, where a table's number of rows is known beforehand.
+FILE_ROWS = 100_000
+
+
+def materialise(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = None) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
+    rows: how many narrow rows it has at most, about; a small table is then written by few tasks as few files."""
     spark = small_batches(df.sparkSession)
     path = scratch(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -68,6 +75,27 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: A key with at least this share of the rows is hot; there are fewer such keys than one by this share.
+HOT = 1e-3
+#: Rows of narrow keys that may travel to every task.
+SMALL_ROWS = 200_000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: str | list[str], weight: str, total: int) -> DataFrame:
+    """rows joined to a table of distinct keys (not null) by these. weight: the table's column that says how many rows have
+    the key; total: their sum. Keys with a share of HOT (at most 1 / HOT of them) are broadcast, all others are shuffled."""
+    keys = [keys] if isinstance(keys, str) else keys
+    is_hot = F.col(weight) > int(HOT * total)
+    hot = table.where(is_hot)
+    common = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(~is_hot), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(common)
+
+
+def if_small(table: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A table of narrow rows, to be broadcast if it has at most `most` rows, else to be joined by a shuffle."""
+    return F.broadcast(table) if table.count() <= most else table.hint("merge")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

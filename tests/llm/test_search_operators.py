@@ -55,7 +55,7 @@ def test_long_texts_are_counted_in_chunks(monkeypatch):
     want = [plain_fingerprint(t) for t in texts]
     for chunk in (7, 256, 1 << 18):
         monkeypatch.setattr(simhash, "CHUNK", chunk)
-        assert simhash.fingerprints_of([t.encode() for t in texts], 3)[:, 0].tolist() == want
+        assert simhash.fingerprints_of([t.encode() for t in texts], 3).tolist() == want
 
 
 def clustered(n, seed, width=64):
@@ -88,7 +88,7 @@ def test_gray_rank_orders_neighbours(values):
     assert (rank ^ (rank >> np.uint64(1)) == v).all()
 
 
-@pytest.mark.parametrize("group_rows", [40, 1 << 16])
+@pytest.mark.parametrize("group_rows", [12, 50, 1 << 16])
 def test_hot_groups_are_split_without_losing_links(spark, group_rows):
     prints = clustered(400, 9)
     prints += [(0xABCDEF << 40) | x for x in range(0, 600, 2)]  # one block value shared by many
@@ -111,6 +111,7 @@ def test_simhash_awkward(spark):
     assert simhash.near_duplicates(nothing(spark)).count() == 0
     assert simhash.keep_one(nothing(spark)).count() == 0
     kept = simhash.keep_one(awkward(spark)).collect()
+    assert len(kept) == 6 and kept[0].asDict().keys() == awkward(spark).first().asDict().keys()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 2, 5, 6, 7]
 
 
@@ -162,10 +163,45 @@ def test_similar_documents_are_exact(spark):
     assert len(at_limit) >= 50 and sum(at_limit) >= 0.97 * len(at_limit) and all(x for x, s in near if s > 0.9)
 
 
+def test_large_ids_and_rows_of_one_id(spark):
+    """Ids over the whole long range; rows that share an id but not a text are documents of their own."""
+    text = " ".join(f"word{i}" for i in range(40))
+    other = " ".join(f"other{i}" for i in range(40))
+    big = 1 << 62
+    docs = spark.createDataFrame([(big + 6, text), (big + 5, text), (-big, other), (1, other + " a"), (None, text)], "doc_id bigint, text string")
+    rows = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs.where("doc_id > 1")).collect()}
+    assert rows == {(big + 6, big + 5), (big + 5, big + 5)}
+    assert {(r.doc_id, r.component_id) for r in simhash.similar_documents(docs).collect()} == {(big + 6, big + 5), (big + 5, big + 5), (None, big + 5), (-big, -big), (1, -big)}
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {big + 5, -big}
+    same = spark.createDataFrame([(1, text, 1), (1, other, 2), (1, other, 3), (None, text, 4)], "doc_id bigint, text string, k int")
+    assert sorted(r.text for r in simhash.keep_one(same).collect()) == sorted([text, other])
+    named = spark.createDataFrame([("b", text), ("a", text), (None, other), (None, other)], "doc_id string, text string")
+    assert sorted((r.doc_id or "") for r in simhash.keep_one(named).collect()) == ["", "a"]
+    assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(named).collect()} == {("a", "a"), ("b", "a"), (None, None)}
+
+
+@pytest.mark.parametrize("limits", [{}, {"group_rows": 8}, {"group_shingles": 1500}])
+def test_split_groups_lose_no_links(spark, limits):
+    """One large group of near copies, in parts of some rows: the same components as without parts."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(124)]
+    texts = []
+    for k in range(70):
+        words = list(base)
+        for _ in range(k % 7):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(50)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sets = [shingles(t) for t in texts]
+    want = plain_components(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, **limits).collect()}
+    assert got == want and len(set(want.values())) > 1
+
+
 # ---- components ----
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", range(3))
 def test_connected(spark, seed):
     rng = random.Random(seed)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(300)] + [(5000, 5000 + i) for i in range(200)] + [(7, 7)]
