@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import scratch, text_of
+from lexloom.llm.common import lean, scratch, text_of
 from lexloom.llm.tokens import encoder, resolve
 
 LENGTH = 2048
@@ -118,7 +118,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k
             writer.close()
             yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "docs": writer.docs, "n_tokens": writer.total}], pa.schema([("part", pa.int32()), ("docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    parts = sorted(tuple(r) for r in ordered.mapInArrow(run, "part int, docs bigint, n_tokens bigint").collect())  # a row per file
+    parts = sorted(tuple(r) for r in ordered.mapInArrow(lean(run), "part int, docs bigint, n_tokens bigint").collect())  # a row per file
     start, manifest = 0, []
     for part, n_docs, n in parts:
         manifest.append((part, n_docs, n, start))
@@ -179,7 +179,7 @@ def read_documents(manifest: DataFrame, folder: str, length: int = LENGTH, doc_t
                     yield pa.RecordBatch.from_arrays([entries.column(0), starts, entries.column(2), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, manifest.count())
-    return manifest.repartition(n, "part").mapInArrow(run, schema)
+    return manifest.repartition(n, "part").mapInArrow(lean(run), schema)
 
 
 def round_trip(docs: DataFrame, folder: str | None = None, **settings) -> DataFrame:

@@ -10,7 +10,7 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,6 +63,24 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd", rows: int | None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, for mapInArrow, with what it has freed given back to the system at its end: Spark keeps the worker for later stages."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return wrapped
+
+
 def worker_state(name: str) -> dict:
     """A dict that lives as long as the Python worker process; functions pickled by value lose their module globals between tasks."""
     store = sys.modules.setdefault("_lexloom_worker_state", types.ModuleType("_lexloom_worker_state"))

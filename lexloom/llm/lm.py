@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import id_remainder, materialise, text_of
+from lexloom.llm.common import id_remainder, lean, materialise, text_of
 
 #: Classes: words of their own, suffix groups; coarse classes; size of vectors; noise words per position.
 HEAD, SUFFIXES, COARSE, DIM, NOISE = 400, 110, 16, 32, 10
@@ -63,7 +63,7 @@ def word_counts(training: DataFrame) -> DataFrame:
         if counts:
             yield out(counts)
 
-    return training.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
+    return training.select("text").mapInArrow(lean(run), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 @dataclass
@@ -167,7 +167,7 @@ def cell_counts(training: DataFrame, shared) -> DataFrame:
             part = cell[at : at + (1 << 17)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(table[part])], names=["cell", "n"])
 
-    return training.select("text").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    return training.select("text").mapInArrow(lean(run), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -277,7 +277,7 @@ def partial_scores(rows: DataFrame, shared, model: Bilinear) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + n)), part.column(0), part.column(1), *[pa.array(c, t) for c, t in zip(out, kinds, strict=True)]], names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "counts", "shared", "classes", "rare"])
                 uid += n
 
-    return rows.select("doc_id", "held_out", "text").mapInArrow(run, schema)
+    return rows.select("doc_id", "held_out", "text").mapInArrow(lean(run), schema)
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: int = 1, folds: int = 5, head: int = HEAD, suffixes: int = SUFFIXES, heavy: int = HEAVY) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType, BinaryType
 
-from lexloom.llm.common import materialise, text_of
+from lexloom.llm.common import lean, materialise, text_of
 
 ROW = 64  # bytes of payload in a row of a stored text's image
 TILE = 16  # side of a tile
@@ -236,7 +236,7 @@ def describe_media(table: DataFrame, media: str = "media", tile: int = TILE) ->
             new = [pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def payload_of(image: np.ndarray) -> bytes:
@@ -260,7 +260,7 @@ def texts_as_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 sizes.append(len(data))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, n_bytes bigint, media binary")
 
 
 def media_digests(stored: DataFrame) -> DataFrame:
@@ -284,7 +284,7 @@ def media_digests(stored: DataFrame) -> DataFrame:
             new = [pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *new], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(lean(run), f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
 def store_media(media: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import materialise
+from lexloom.llm.common import lean, materialise
 
 #: SHARE counts the rows of the leaves taken, a row once for each tree.
 K, TREES, SHARE, LEAST = 20, 2, 1.25, 2_000
@@ -121,7 +121,7 @@ def usable_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embe
             at = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(vectors, pa.binary()), pa.array(sizes[kept].astype(np.int32)), pa.array(norms, pa.float64())], names=["id", "v", "dim", "norm2"])
 
-    return rows.mapInArrow(run, "id bigint, v binary, dim int, norm2 double"), kind
+    return rows.mapInArrow(lean(run), "id bigint, v binary, dim int, norm2 double"), kind
 
 
 def _matrix(column, kind) -> np.ndarray:

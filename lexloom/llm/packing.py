@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from lexloom.llm.common import materialise, text_of
+from lexloom.llm.common import lean, materialise, text_of
 from lexloom.llm.tokens import encoder, resolve
 
 CAPACITY = 2048
@@ -195,7 +195,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capac
             if out[0]:
                 yield emit(keys_of.type, *out)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 #: A piece's place among the rows of its length: the number of the task that wrote it, and its rank there.
@@ -233,7 +233,7 @@ def pack_best_fit(pieces: DataFrame, capacity: int = CAPACITY, length: str = "le
             k = _ranks(lengths, seen)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(k), part)), pa.array(k)], names=[*batch.schema.names, *RANK])
 
-    return _place(materialise(pieces.mapInArrow(rank, ranked), "pieces"), capacity, length)
+    return _place(materialise(pieces.mapInArrow(lean(rank), ranked), "pieces"), capacity, length)
 
 
 def _place(written: DataFrame, capacity: int, length: str) -> DataFrame:
@@ -259,7 +259,7 @@ def _place(written: DataFrame, capacity: int, length: str) -> DataFrame:
             new = [pa.array(run[:, 3] + number - run[:, 1]), pa.array(run[:, 4])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    return numbered.mapInArrow(place, placed)
+    return numbered.mapInArrow(lean(place), placed)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:

@@ -24,9 +24,8 @@ from operator import eq
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lexloom.llm.common import id_remainder, text_of
+from lexloom.llm.common import id_remainder, lean, text_of
 
 N_FEATURES = 20
 THRESHOLD = 0.3
@@ -148,8 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # Both inputs are bounded by the sample size, the first one also in what it broadcasts.
     positive = rows.join(F.broadcast(positives), "__ll_id", "left_semi").withColumn("__ll_p", F.lit(1))
     unlabelled = rows.where(chosen(max_unlabelled, total, 2)).withColumn("__ll_p", F.lit(0))
-    found = positive.unionByName(unlabelled).select("__ll_p", "__ll_t").mapInArrow(_sample_features, "p int, x array<double>").toPandas()
-    stack = lambda v: np.array([np.asarray(x) for x in found.x[found.p == v]], dtype=np.float64).reshape(-1, N_FEATURES)
+    found = positive.unionByName(unlabelled).select("__ll_p", "__ll_t").mapInArrow(lean(_sample_features), "p int, x array<double>").toArrow()
+    kinds, sample = found.column(0).to_numpy(), found.column(1).combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES)
+    stack = lambda v: sample[kinds == v]
     order = lambda x: x[np.lexsort(x.T)]  # noqa: E731  the sums don't depend on the order in which tasks ended
     return train_nnpu(order(stack(1)), order(stack(0)), prior)
 
@@ -163,20 +163,16 @@ def _sample_features(batches: Iterator) -> Iterator:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
-    """docs' columns plus the score (replacing a column of that name)."""
-    kept = docs.drop(column) if column != text else docs
-    schema = StructType([*kept.schema.fields, StructField("__ll_score", DoubleType())])
+    """docs' columns plus the score (replacing a column of that name). Only texts go to Python, only scores come back."""
 
-    def run(batches: Iterator) -> Iterator:
+    @F.arrow_udf("double")
+    def scored(texts):
         import pyarrow as pa
 
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text))
-            rows = [features((x.as_py() or "").encode()) for x in texts]
-            scores = model.score(np.array(rows, dtype=np.float64).reshape(-1, N_FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=schema.names)
+        return pa.array(model.score(np.array([features(x.as_py()) for x in texts], dtype=np.float64).reshape(-1, N_FEATURES)))
 
-    return kept.mapInArrow(run, schema).withColumnRenamed("__ll_score", column)
+    kept = docs.drop(column) if column != text else docs
+    return kept.withColumn("__ll_score", scored(text_of(text).cast("binary"))).withColumnRenamed("__ll_score", column)
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, **settings) -> DataFrame:

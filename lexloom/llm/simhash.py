@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lexloom.llm.common import if_small, join_hot, materialise, text_of
+from lexloom.llm.common import if_small, join_hot, lean, materialise, text_of
 from lexloom.llm.components import connected
 
 
@@ -149,7 +149,7 @@ def fingerprints(docs: DataFrame, n: int = 3, doc_id: str = "doc_id", text: str
             f = fingerprints_of([x.as_py() for x in batch.column(1)], n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.view(np.int64))], names=["doc_id", "f0"])
 
-    return rows.mapInArrow(run, StructType([rows.schema["doc_id"], StructField("f0", LongType())]))
+    return rows.mapInArrow(lean(run), StructType([rows.schema["doc_id"], StructField("f0", LongType())]))
 
 
 # ---- the hierarchical index ------------------------------------------------------------------------------------
@@ -343,7 +343,7 @@ def _search(entries: DataFrame, max_diff: int) -> DataFrame:
             if held:
                 yield out(found)
 
-    return entries.select("key", "f0").repartition("key").sortWithinPartitions("key").mapInArrow(run, "u bigint, v bigint")
+    return entries.select("key", "f0").repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), "u bigint, v bigint")
 
 
 def components(prints: DataFrame, max_diff: int = 2, group_rows: int = 1 << 16) -> DataFrame:
@@ -450,7 +450,7 @@ def sketches(rows: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], *map(pa.array, columns), flat], names=["doc_id", "h", "d1", "d2", "size", *PRINTS, "keys"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, h bigint, d1 bigint, d2 bigint, size bigint, {', '.join(f'{f} bigint' for f in PRINTS)}, keys array<bigint>")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, h bigint, d1 bigint, d2 bigint, size bigint, {', '.join(f'{f} bigint' for f in PRINTS)}, keys array<bigint>")
 
 
 def candidates(nodes: np.ndarray, prints: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -502,7 +502,7 @@ def to_compare(entries: DataFrame) -> DataFrame:
                 rows = np.concatenate(found)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[:, k].copy()) for k in range(len(ENTRY))], names=ENTRY)
 
-    return entries.select(*ENTRY).repartition("key").sortWithinPartitions("key").mapInArrow(run, ", ".join(f"{c} bigint" for c in ENTRY))
+    return entries.select(*ENTRY).repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), ", ".join(f"{c} bigint" for c in ENTRY))
 
 
 def similar_links(part: np.ndarray, sets: list[np.ndarray], least: float = SIMILAR) -> list[tuple[int, int]]:
@@ -556,7 +556,7 @@ def compare_sets(entries: DataFrame, sets: DataFrame) -> DataFrame:
         if held:
             yield from links(held)
 
-    return entries.join(sets, "node").select(*ENTRY, "s").repartition("key").sortWithinPartitions("key").mapInArrow(run, "u bigint, v bigint")
+    return entries.join(sets, "node").select(*ENTRY, "s").repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), "u bigint, v bigint")
 
 
 def _dealt(nodes: DataFrame, bands: int, salt: int, pairs: bool, group_rows: int, group_shingles: int) -> DataFrame | None:
@@ -620,7 +620,7 @@ def sets_of(texts: DataFrame, n: int) -> DataFrame:
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(x.as_py(), n).tobytes() for x in part.column(1)], pa.binary())], names=["node", "s"])
 
-    return texts.select("node", "text").mapInArrow(run, "node bigint, s binary")
+    return texts.select("node", "text").mapInArrow(lean(run), "node bigint, s binary")
 
 
 def _classes(docs: DataFrame, n: int, doc_id: str, text: str, **limits) -> tuple[DataFrame, DataFrame, int]:

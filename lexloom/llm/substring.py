@@ -1,7 +1,8 @@
 """Substring dedup by hashing lines and sentences.
 
-Units of a text are its lines (at least `min_line_words` words) and, inside lines of several sentences, the sentences
-(at least `min_sentence_words`), so that a passage pasted into the middle of a paragraph is found too. A unit is
+Units of a text are its lines (of at least `min_line` words) and, inside lines of several sentences, the sentences (of at
+least `min_sentence`), so that a passage pasted into the middle of a paragraph is found too. Runs of 40 bytes and more
+without a blank, as in scripts that write none, count as a word for each six bytes. A unit is
 normalised (ASCII capitals to small letters, ASCII marks and white space to one blank) and hashed to 128 bits. Digests
 are grouped over the whole table; the occurrence that ranks first, by (doc_id, offset), stays, all others are cut out.
 Offsets always refer to the original text, in characters.
@@ -23,11 +24,16 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import materialise, text_of
+from lexloom.llm.common import lean, materialise, text_of
 
-MIN_LINE_WORDS, MIN_SENTENCE_WORDS = 4, 6
+MIN_LINE_WORDS, MIN_SENTENCE_WORDS = 10, 10
+#: Runs of so many bytes without a blank (scripts that write none) count as a word for each RUN_WORD bytes.
+LONG_RUN, RUN_WORD = 40, 6
+#: Marks that end a sentence: . ! ? and their wide forms (as UTF-8).
+MARKS, WIDE_MARKS = ".!?", "\u3002\uff01\uff1f"
+_INSIDE = rb"(?:[^.!?\n\xe3\xef]|\xe3(?!\x80\x82)|\xef(?!\xbc[\x81\x9f]))"
 #: A sentence: up to its marks and the blanks after them, or what is left of the line.
-SENTENCE = re.compile(rb"[^.!?\n]*[.!?]+[ \t\r\x0b\x0c]*|[^.!?\n]+")
+SENTENCE = re.compile(_INSIDE + rb"*(?:[.!?]|\xe3\x80\x82|\xef\xbc[\x81\x9f])+[ \t\r\x0b\x0c]*|" + _INSIDE + rb"+")
 
 
 def _table() -> bytes:
@@ -38,20 +44,28 @@ def _table() -> bytes:
 FOLD = _table()
 
 
+def size_of(words: list[bytes]) -> int:
+    """How many words these are, long runs counting by their length."""
+    if not words or max(map(len, words)) < LONG_RUN:
+        return len(words)
+    return sum(len(w) // RUN_WORD if len(w) >= LONG_RUN else 1 for w in words)
+
+
 def units(data: bytes, min_line: int = MIN_LINE_WORDS, min_sentence: int = MIN_SENTENCE_WORDS) -> Iterator[tuple[int, int, bool, bytes]]:
     """(start, end, whole line?, normal form) of each unit; byte offsets; a line includes its line break."""
     at = 0
     while at < len(data):
         end = data.find(b"\n", at) + 1 or len(data)
         words = data[at:end].translate(FOLD).split()
-        if len(words) >= min_line:
+        size = size_of(words)
+        if size >= min_line:
             yield at, end, True, b" ".join(words)
-        if len(words) >= min_sentence:
+        if size >= min_sentence:
             parts = [m.span() for m in SENTENCE.finditer(data, at, end)]
             if len(parts) > 1:
                 for a, b in parts:
                     inner = data[a:b].translate(FOLD).split()
-                    if len(inner) >= min_sentence:
+                    if size_of(inner) >= min_sentence:
                         yield a, b, False, b" ".join(inner)
         at = end
 
@@ -79,7 +93,7 @@ def unit_digests(docs: DataFrame, min_line: int = MIN_LINE_WORDS, min_sentence:
                 s = np.array(spans, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(s[:, 2].astype(bool)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=names)
 
-    return docs.select("__ll_id", "__ll_key", "__ll_text").mapInArrow(run, f"__ll_id {kind}, __ll_key bigint, a bigint, b bigint, line boolean, h1 bigint, h2 bigint")
+    return docs.select("__ll_id", "__ll_key", "__ll_text").mapInArrow(lean(run), f"__ll_id {kind}, __ll_key bigint, a bigint, b bigint, line boolean, h1 bigint, h2 bigint")
 
 
 def repeated_spans(docs: DataFrame, min_line: int = MIN_LINE_WORDS, min_sentence: int = MIN_SENTENCE_WORDS) -> DataFrame:
@@ -126,35 +140,27 @@ def cut_spans(data: bytes, found: list[tuple[int, int, bool]]) -> tuple[bytes, l
 
 
 def _cut(joined: DataFrame, text: str, names: tuple[str, str, str]) -> DataFrame:
-    from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
-
-    span = StructType([StructField("start", LongType()), StructField("end", LongType())])
-    fields = [f for f in joined.schema.fields if f.name != "__ll_spans"]
-    schema = StructType([*fields, StructField(names[0], IntegerType()), StructField(names[1], LongType()), StructField(names[2], ArrayType(span))])
-    at_text = [f.name for f in fields].index(text)
+    """Texts with spans go to Python and come back cut; all others stay where they are."""
 
-    def run(batches: Iterator) -> Iterator:
+    @F.arrow_udf("text string, spans array<struct<start: bigint, end: bigint>>")
+    def cut(texts, found):
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            texts, counts, sizes, spans = [], [], [], []
-            for x, s in zip(batch.column(at_text), batch.column(batch.num_columns - 1), strict=True):
-                found = s.as_py()
-                if not found:
-                    texts.append(x.as_py())
-                    chars = []
-                else:
-                    data, chars = cut_spans(x.as_py().encode(), [(f["a"], f["b"], f["line"]) for f in found])
-                    texts.append(data.decode())
-                counts.append(len(chars))
-                sizes.append(sum(b - a for a, b in chars))
-                spans.append([{"start": a, "end": b} for a, b in chars])
-            columns = list(batch.columns[:-1])
-            columns[at_text] = pa.array(texts, batch.column(at_text).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32()), pa.array(sizes, pa.int64()), pa.array(spans, kind)], names=schema.names)
-
-    return joined.mapInArrow(run, schema)
+        rows = []
+        for x, s in zip(texts, found, strict=True):
+            if not x.is_valid:
+                rows.append(None)
+                continue
+            data, chars = cut_spans(x.as_py().encode(), [(f["a"], f["b"], f["line"]) for f in s.as_py()])
+            rows.append({"text": data.decode(), "spans": [{"start": a, "end": b} for a, b in chars]})
+        span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+        return pa.array(rows, pa.struct([("text", pa.string()), ("spans", pa.list_(span))]))
+
+    done = joined.withColumn("__ll_cut", cut(F.when(F.col("__ll_spans").isNotNull(), F.col(text)), "__ll_spans"))
+    spans = F.coalesce(F.col("__ll_cut.spans"), F.array().cast("array<struct<start: bigint, end: bigint>>"))
+    size = F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    kept = [F.coalesce("__ll_cut.text", c).alias(c) if c == text else F.col(c) for c in joined.columns if c != "__ll_spans"]
+    return done.select(*kept, F.size(spans).alias(names[0]), size.alias(names[1]), spans.alias(names[2]))
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -165,7 +171,8 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 _FOLD_SQL = r"""trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-/:-@\[-`{{-\x7f]+', ' ', 'g'))"""
-_WORDS_SQL = "CASE WHEN {0} = '' THEN 0 ELSE len(string_split({0}, ' ')) END"
+_WORDS_SQL = "CASE WHEN {0} = '' THEN 0 ELSE list_sum(list_transform(string_split({0}, ' '), lambda w: CASE WHEN strlen(w) >= %d THEN strlen(w) // %d ELSE 1 END)) END" % (LONG_RUN, RUN_WORD)
+_ENDS = MARKS + WIDE_MARKS
 
 ORACLE_SQL = rf"""
 WITH docs AS (
@@ -180,7 +187,7 @@ WITH docs AS (
 ), parts AS (
   SELECT doc_id, l, a AS la, s, i, n FROM (
     SELECT doc_id, l, a, unnest(p) AS s, generate_subscripts(p, 1) AS i, len(p) AS n FROM (
-      SELECT doc_id, l, a, regexp_extract_all(body, '[^.!?\n]*[.!?]+[ \t\r\x0b\x0c]*|[^.!?\n]+') AS p FROM placed))
+      SELECT doc_id, l, a, regexp_extract_all(body, '[^{_ENDS}\n]*[{_ENDS}]+[ \t\r\x0b\x0c]*|[^{_ENDS}\n]+') AS p FROM placed))
 ), sentences AS (
   SELECT doc_id, l, i, n, s, (la + coalesce(sum(length(s)) OVER (PARTITION BY doc_id, l ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS a,
          {_FOLD_SQL.format("s")} AS normal FROM parts

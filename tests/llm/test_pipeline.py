@@ -6,7 +6,7 @@ import pytest
 from helpers import SF, awkward, nothing, table
 
 import corpus_pipeline as pipeline
-from lexloom.llm import quality, simhash
+from lexloom.llm import quality, simhash, substring
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -37,15 +37,15 @@ def test_stages(spark, tmp_path):
     assert len({texts[d] for d in left}) == len(left)
     sets = {d: shingles(t) for d, t in texts.items()}
     for d in set(texts) - left:
-        assert max(len(sets[d] & sets[x]) / len(sets[d] | sets[x]) for x in texts if x != d) > 0.65
+        assert max(len(sets[d] & sets[x]) / len(sets[d] | sets[x]) for x in texts if x != d) >= 0.8
     for d in left:
         for x in left:
-            assert x <= d or len(sets[d] & sets[x]) / len(sets[d] | sets[x]) < 0.9
+            assert x <= d or len(sets[d] & sets[x]) / len(sets[d] | sets[x]) < 0.8
     # 3: all documents stay, texts only lose parts, n_chars follows
     assert {r.doc_id for r in kept[2]} == left
     for r in kept[2]:
         assert len(r.text) <= len(texts[r.doc_id]) and r.n_chars == len(r.text)
-    lines = [x for r in kept[2] for x in r.text.split("\n") if len(x.split()) >= 8]
+    lines = [x for r in kept[2] for x in r.text.split("\n") if len(x.split()) >= substring.MIN_LINE_WORDS]
     assert len(lines) == len(set(lines))
     # 4: copies of kept rows only
     assert {r.doc_id for r in kept[3]} <= left

@@ -28,7 +28,7 @@ PASSAGE = "Here stands a sentence of the passage that repeats. Another sentence
 
 def test_passage_inside_a_paragraph(spark):
     docs = spark.createDataFrame([(1, f"First text of its own. {PASSAGE} More of the first text."), (2, f"second text goes on and {PASSAGE} And this text ends.\nIts last line is its own."), (3, "Its last line is its own.\nother words entirely in this line")], "doc_id bigint, text string")
-    found = {r.doc_id: r for r in substring.dedup_texts(docs).collect()}
+    found = {r.doc_id: r for r in substring.dedup_texts(docs, min_line=4, min_sentence=6).collect()}
     assert found[1].n_removed == 0 and PASSAGE in found[1].text
     # The passage's first sentence is merged with the words before it; the others go.
     assert found[2].text == "second text goes on and Here stands a sentence of the passage that repeats. And this text ends.\nIts last line is its own."
@@ -51,7 +51,7 @@ def test_spans_are_original_characters(spark):
 
 
 def test_substring_awkward(spark):
-    rows = substring.dedup_texts(awkward(spark)).collect()
+    rows = substring.dedup_texts(awkward(spark), min_line=4).collect()
     by = collections.defaultdict(list)
     for r in rows:
         by[r.doc_id].append(r)
@@ -62,9 +62,24 @@ def test_substring_awkward(spark):
     assert substring.dedup_texts(nothing(spark)).count() == 0
 
 
+def test_text_without_blanks(spark):
+    """Long runs count by their length; wide marks end sentences. As plain SQL has it, too."""
+    passage = "\u8fd9\u662f\u4e00\u4e2a\u6ca1\u6709\u7a7a\u683c\u7684\u53e5\u5b50\u5b83\u5728\u8bb8\u591a\u6587\u4ef6\u4e2d\u91cd\u590d\u51fa\u73b0\u800c\u4e14\u5f88\u957f\u3002"
+    docs = spark.createDataFrame([(1, "\u5f00\u59cb\u3002" + passage + "\u7ed3\u675f\uff01"), (2, "\u53e6\u4e00\u4e2a\uff1f" + passage + "\u5230\u6b64\u4e3a\u6b62\u3002"), (3, "short line\n\u77ed\n" + passage)], "doc_id bigint, text string")
+    found = {r.doc_id: r for r in substring.dedup_texts(docs).collect()}
+    assert [found[d].n_removed for d in (1, 2, 3)] == [0, 1, 1]
+    assert found[2].text == "\u53e6\u4e00\u4e2a\uff1f\u5230\u6b64\u4e3a\u6b62\u3002" and found[3].text == "short line\n\u77ed\n"
+    import duckdb
+
+    db = duckdb.connect()
+    db.register("documents", docs.toArrow())
+    got = substring.query(docs).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == db.execute(ORACLE_SQL["op1_substring_dedup"] + " ORDER BY doc_id").fetchall()
+
+
 def test_many_equal_lines(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("The same line everywhere it is.\nnumber own line of "), F.col("id").cast("string")).alias("text"))
-    rows = substring.dedup_texts(docs).select("doc_id", "n_removed", "text").collect()
+    rows = substring.dedup_texts(docs, min_line=4, min_sentence=6).select("doc_id", "n_removed", "text").collect()
     assert sum(r.n_removed for r in rows) == 2999 and all((r.n_removed == 0) == (r.doc_id == 0) for r in rows)
 
 
