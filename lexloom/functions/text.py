@@ -33,14 +33,13 @@ SMALL = CAPITALS.lower()
 def index_words(content: Column, max_len: int | None = None) -> Column:
     """Words of a document, in order: what stands before each separator. Text after the last separator gives no word, nor
     do words that start with '<' or end with '>'. Longer words than max_len are left out if it is given. Null: no words."""
-    parts = F.split(F.coalesce(content, F.lit("")), INDEX_SEPARATORS, -1)
-    closed = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    closed = F.regexp_extract(F.coalesce(content, F.lit("")), "(?s)^.*" + INDEX_SEPARATORS, 0)  # up to the last separator
 
     def keep(w: Column) -> Column:
         good = (w != "") & ~w.startswith("<") & ~w.endswith(">")
         return good & (F.length(w) <= max_len) if max_len else good
 
-    return F.filter(closed, keep)
+    return F.filter(F.split(closed, INDEX_SEPARATORS, -1), keep)
 
 
 def fold_ascii(word: Column) -> Column:

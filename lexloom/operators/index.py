@@ -1,4 +1,8 @@
-"""The inverted index as three DataFrames, its statistics, lookups, merge and storage."""
+"""The inverted index as DataFrames, its statistics, lookups, merge and storage.
+
+A posting carries its document's length, so that scoring needs no join with the documents. A saved index also holds the
+document frequencies and the corpus numbers; a search in it reads postings once and no text.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,9 @@ from lexloom.functions.text import index_terms
 from lexloom.options import IndexOptions
 
 DOCS = "doc_idx bigint, docno string, dl bigint"
-POSTINGS = "term string, doc_idx bigint, tf int"
+POSTINGS = "term string, doc_idx bigint, tf int, dl bigint"
+TERMS = "term string, df bigint"
+NUMBERS = "n_docs bigint, n_tokens bigint"
 
 
 @dataclass
@@ -27,21 +33,31 @@ class IndexStats:
 
 @dataclass
 class InvertedIndex:
-    """docs(doc_idx, docno, dl), postings(term, doc_idx, tf) and the options the terms were made with."""
+    """docs(doc_idx, docno, dl), postings(term, doc_idx, tf, dl) and the options the terms were made with; terms(term, df)
+    and numbers (documents, tokens) where they are known."""
 
     docs: DataFrame
     postings: DataFrame
     options: IndexOptions
+    terms: DataFrame | None = None
+    numbers: tuple[int, int] | None = None
 
     # -- statistics --
     def term_stats(self) -> DataFrame:
         """term, df."""
-        return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        return self.terms if self.terms is not None else self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     def corpus_stats(self) -> DataFrame:
         """n_docs and avg_dl over all documents, empty ones too; avg_dl is null without documents."""
         return self.docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
+    def corpus_numbers(self) -> tuple[int, float]:
+        """Documents and their average length (0 without documents); asked for once."""
+        if self.numbers is None:
+            self.numbers = tuple(self.docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).collect()[0])
+        n, tokens = self.numbers
+        return n, tokens / n if n else 0.0
+
     def term_length_histogram(self, rows: int = 100) -> DataFrame:
         """Number of terms by length, longest first."""
         return self.term_stats().groupBy(F.length("term").alias("term_length")).agg(F.count(F.lit(1)).alias("n_terms")).orderBy(F.desc("term_length")).limit(rows)
@@ -55,9 +71,9 @@ class InvertedIndex:
         return self.term_stats().where((F.col("df") > threshold) & (F.length("term") <= max_length)).orderBy(F.desc("df"), "term")
 
     def describe(self) -> IndexStats:
-        d = self.docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).collect()[0]
-        p = self.postings.agg(F.countDistinct("term"), F.count(F.lit(1))).collect()[0]
-        return IndexStats(d[0], d[1], p[0], p[1])
+        self.corpus_numbers()
+        t = self.term_stats().agg(F.count(F.lit(1)), F.coalesce(F.sum("df"), F.lit(0))).collect()[0]
+        return IndexStats(*self.numbers, t[0], t[1])
 
     # -- lookups --
     def posting_lists(self, terms: DataFrame) -> DataFrame:
@@ -82,18 +98,23 @@ class InvertedIndex:
         return InvertedIndex(self.docs.unionByName(move(other.docs)), self.postings.unionByName(move(other.postings)), self.options)
 
     def save(self, path: str) -> None:
-        """A folder with docs, postings (clustered by term) and meta; replaces what is there."""
+        """A folder with docs, postings, terms, numbers and meta; replaces what is there. Postings are clustered by term in
+        ranges of (term, document), so that a frequent term fills several files."""
         spark = self.docs.sparkSession
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_idx").write.mode("overwrite").parquet(f"{path}/postings")
+        self.postings.select("term", "doc_idx", "tf", "dl").repartitionByRange("term", "doc_idx").sortWithinPartitions("term", "doc_idx").write.mode("overwrite").parquet(f"{path}/postings")
+        spark.read.schema(POSTINGS).parquet(f"{path}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+        numbers = spark.read.schema(DOCS).parquet(f"{path}/docs").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens"))
+        numbers.write.mode("overwrite").parquet(f"{path}/numbers")
         flags = asdict(self.options)
         meta = spark.createDataFrame([tuple(flags.values())], ", ".join(f"{k} boolean" for k in flags))
         meta.write.mode("overwrite").parquet(f"{path}/meta")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> InvertedIndex:
+        read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
         flags = spark.read.parquet(f"{path}/meta").collect()[0].asDict()
-        return cls(spark.read.schema(DOCS).parquet(f"{path}/docs"), spark.read.schema(POSTINGS).parquet(f"{path}/postings"), IndexOptions(**flags))
+        return cls(read("docs", DOCS), read("postings", POSTINGS), IndexOptions(**flags), read("terms", TERMS), tuple(read("numbers", NUMBERS).collect()[0]))
 
 
 def build_index(docs: DataFrame, options: IndexOptions, max_len: int | None = None, compat_stemmer: bool = True) -> InvertedIndex:
@@ -101,8 +122,8 @@ def build_index(docs: DataFrame, options: IndexOptions, max_len: int | None = No
     aggregation that is complete for every document."""
     terms = index_terms(F.col("content"), options.case_folding, options.remove_stop_words, max_len)
     lengths = docs.select("doc_idx", "docno", F.size(terms).cast("bigint").alias("dl"))
-    words = docs.select("doc_idx", F.explode(terms).alias("term"))
-    postings = words.groupBy("term", "doc_idx").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    words = docs.select("doc_idx", terms.alias("terms")).select("doc_idx", F.size("terms").cast("bigint").alias("dl"), F.explode("terms").alias("term"))
+    postings = words.groupBy("term", "doc_idx").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.max("dl").alias("dl"))
     if options.do_stemming:
-        postings = stem_column(postings, "term", compat_stemmer).groupBy("term", "doc_idx").agg(F.sum("tf").cast("int").alias("tf"))
+        postings = stem_column(postings, "term", compat_stemmer).groupBy("term", "doc_idx").agg(F.sum("tf").cast("int").alias("tf"), F.max("dl").alias("dl"))
     return InvertedIndex(lengths, postings, options)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.storage import scratch_path
+
 
 def by_hash_set(tokens: DataFrame, words: list[str]) -> DataFrame:
     """`isin`: a chain of comparisons up to ten words, a generated hash set above."""
@@ -20,14 +22,22 @@ def by_comparisons(tokens: DataFrame, words: list[str]) -> DataFrame:
 
 
 def by_sorted_array(tokens: DataFrame, words: list[str]) -> DataFrame:
-    """Place in a sorted literal array."""
-    return tokens.where(F.array_position(F.array(*[F.lit(w) for w in sorted(words)]), F.col("term")) > 0).agg(F.count(F.lit(1)).alias("n"))
+    """Binary search over the sorted words, as a balanced tree of comparisons."""
+
+    def search(part: list[str]) -> Column:
+        if len(part) <= 2:
+            return reduce(lambda a, b: a | b, [F.col("term") == w for w in part], F.lit(False))
+        middle = len(part) // 2
+        return F.when(F.col("term") < part[middle], search(part[:middle])).otherwise(search(part[middle:]))
+
+    return tokens.where(search(sorted(set(words), key=str.encode))).agg(F.count(F.lit(1)).alias("n"))
 
 
 def by_map(tokens: DataFrame, words: list[str]) -> DataFrame:
-    """Key of a literal map."""
-    pairs = [x for w in words for x in (F.lit(w), F.lit(True))]
-    return tokens.where(F.map_contains_key(F.create_map(*pairs), F.col("term"))).agg(F.count(F.lit(1)).alias("n"))
+    """Hash code first (whole numbers, for which Spark generates a switch), the words themselves where it is among theirs."""
+    codes = tokens.sparkSession.createDataFrame([(w,) for w in words], "w string").select(F.hash("w").alias("c"))
+    found = sorted({r["c"] for r in codes.collect()})  # as many as there are words
+    return tokens.where(F.hash("term").isin(found)).where(F.col("term").isin(words)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def by_semi_join(tokens: DataFrame, words: list[str]) -> DataFrame:
@@ -46,6 +56,9 @@ METHODS = {"hash_set": by_hash_set, "comparisons": by_comparisons, "sorted_array
 
 
 def count_members(tokens: DataFrame, words: list[str]) -> DataFrame:
-    """method, n: all six."""
+    """method, n: all six, over tokens that are made once and written to the shared folder."""
+    spark, path = tokens.sparkSession, scratch_path(tokens.sparkSession, "tokens")
+    tokens.select("term").write.parquet(path)
+    tokens = spark.read.schema("term string").parquet(path)
     parts = [f(tokens, words).select(F.lit(name).alias("method"), F.col("n").cast("bigint").alias("n")) for name, f in METHODS.items()]
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.operators.index import InvertedIndex
-from lexloom.operators.scoring import SCORERS, Scorer
+from lexloom.operators.index import POSTINGS, InvertedIndex
+from lexloom.operators.scoring import SCORERS, Scorer, query_postings
+from lexloom.storage import hadoop_path, scratch_path
 
 #: As many documents per topic as a run file holds. Spark cuts ranks before the shuffle up to this number.
 DEPTH = 1000
@@ -39,9 +41,16 @@ def search(index: InvertedIndex, topics: DataFrame, scorer: Scorer, depth: int =
     return best.join(index.docs.select("doc_idx", "docno"), "doc_idx").select("topic", "rank", "docno", "score")
 
 
-def run_lines(run: DataFrame, run_name: str, score_format: str = "%.7g") -> DataFrame:
+def plain_score(score: Column, digits: int = 7) -> Column:
+    """A single-precision score in at most so many significant digits, without trailing zeros: 0.981644, 12, 1.5E-05."""
+    text = F.format_string(f"%.{digits}g", score.cast("float").cast("double"))
+    return F.upper(F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+(?=e|$)", "$1"), r"\.(?=e|$)", ""))
+
+
+def run_lines(run: DataFrame, run_name: str, score_format: str | None = None) -> DataFrame:
     """topic, rank, line: `topic Q0 docno rank score run`."""
-    return run.select("topic", "rank", F.concat_ws(" ", F.col("topic").cast("string"), F.lit("Q0"), F.col("docno"), F.col("rank").cast("string"), F.format_string(score_format, F.col("score").cast("double")), F.lit(run_name)).alias("line"))
+    score = F.format_string(score_format, F.col("score").cast("double")) if score_format else plain_score(F.col("score"))
+    return run.select("topic", "rank", F.concat_ws(" ", F.col("topic").cast("string"), F.lit("Q0"), F.col("docno"), F.col("rank").cast("string"), score, F.lit(run_name)).alias("line"))
 
 
 def run_file_name(run_name: str, scorer: Scorer) -> str:
@@ -49,16 +58,35 @@ def run_file_name(run_name: str, scorer: Scorer) -> str:
 
 
 def write_run(run: DataFrame, path: str, run_name: str) -> None:
-    """One text folder in topic and rank order; at most `depth` lines a topic."""
-    run_lines(run, run_name).orderBy("topic", "rank").select("line").coalesce(1).write.mode("overwrite").text(path)
+    """One text file in topic and rank order; replaces what is there. It has at most `depth` lines a topic."""
+    spark = run.sparkSession
+    parts = f"{path}.parts"
+    run_lines(run, run_name).orderBy("topic", "rank").select("line").coalesce(1).write.mode("overwrite").text(parts)
+    fs, folder = hadoop_path(spark, parts)
+    final = hadoop_path(spark, path)[1]
+    fs.delete(final, True)
+    for status in fs.listStatus(folder):
+        if status.getPath().getName().startswith("part-"):
+            fs.rename(status.getPath(), final)
+    fs.delete(folder, True)
 
 
 def search_all(index: InvertedIndex, topics: DataFrame, folder: str, run_name: str, scorers: Iterable[Scorer] = SCORERS) -> list[str]:
-    """A run for each scorer over the same topics; returns the paths."""
-    topics = topics.persist()
+    """A run for each scorer over the same topics; returns the paths. The topics' postings are picked once and written to the
+    shared folder, and all scorers read those."""
+    spark = topics.sparkSession
+    scratch = scratch_path(spark, "search")
+    topics.write.parquet(f"{scratch}/topics")
+    topics = spark.read.schema(topics.schema).parquet(f"{scratch}/topics")
+    query_postings(index, topics).select("term", "doc_idx", "tf", "dl").write.parquet(f"{scratch}/postings")
+    picked = spark.read.schema(POSTINGS).parquet(f"{scratch}/postings")
+    index.corpus_numbers()
+    terms = index.terms if index.terms is not None else picked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    index = replace(index, postings=picked, terms=terms)
     paths = []
     for scorer in scorers:
         paths.append(f"{folder}/{run_file_name(run_name, scorer)}")
         write_run(search(index, topics, scorer), paths[-1], run_name)
-    topics.unpersist()
+    fs, at = hadoop_path(spark, scratch)
+    fs.delete(at, True)
     return paths

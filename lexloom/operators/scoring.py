@@ -1,7 +1,7 @@
 """Ranking functions: per matched posting a contribution, summed per topic and document.
 
-All topics are scored in one job; the topic is a column. What depends on the term alone (idf, k1) is computed on the few
-query terms before the postings are joined.
+All topics are scored in one job; the topic is a column. What depends on topic and term alone (idf, k1, weights) is computed
+on these few rows before the postings are joined; Spark broadcasts them while they are small.
 """
 
 from __future__ import annotations
@@ -25,22 +25,18 @@ class Scorer(Protocol):
         ...
 
 
-def corpus_numbers(index: InvertedIndex) -> tuple[int, float]:
-    row = index.corpus_stats().collect()[0]  # one row
-    return row["n_docs"], row["avg_dl"] or 0.0
-
-
 def query_postings(index: InvertedIndex, topics: DataFrame) -> DataFrame:
     """Postings of the topics' terms only."""
     return index.postings.join(topics.select("term").distinct(), "term", "left_semi")
 
 
-def _matched(index: InvertedIndex, topics: DataFrame, with_length: bool) -> DataFrame:
-    """topic, kw_pos, term, qtf, df, doc_idx, tf (and dl)."""
-    postings = query_postings(index, topics)
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = topics.join(df, "term").join(postings, "term")
-    return rows.join(index.docs.select("doc_idx", "dl"), "doc_idx") if with_length else rows
+def _weighted(index: InvertedIndex, topics: DataFrame, **weights) -> DataFrame:
+    """topic, kw_pos, the weights (columns made of df and qtf, one row per topic and term), doc_idx, tf, dl: a row per posting.
+
+    Where frequencies aren't saved they are counted over the query terms' postings only."""
+    stats = index.terms if index.terms is not None else query_postings(index, topics).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    known = topics.join(stats, "term").select("topic", "kw_pos", "term", *[w.alias(name) for name, w in weights.items()])
+    return known.join(index.postings, "term")
 
 
 @dataclass(frozen=True)
@@ -50,9 +46,9 @@ class TfIdf:
     name: str = "TfIdfScorer"
 
     def contributions(self, index: InvertedIndex, topics: DataFrame) -> DataFrame:
-        n, _ = corpus_numbers(index)
-        rows = _matched(index, topics, False).withColumn("__n", F.lit(n).cast("bigint"))
-        return rows.select("topic", "kw_pos", "doc_idx", (F.log(F.lit(1) + F.col("tf")) * F.log(F.expr("__n div df").cast("double"))).alias("score"))
+        n, _ = index.corpus_numbers()
+        rows = _weighted(index, topics, idf=F.log(F.expr(f"{n}L div df").cast("double")))
+        return rows.select("topic", "kw_pos", "doc_idx", (F.log(F.lit(1) + F.col("tf")) * F.col("idf")).alias("score"))
 
 
 @dataclass(frozen=True)
@@ -65,12 +61,12 @@ class Bm25:
     name: str = "BM25Scorer"
 
     def contributions(self, index: InvertedIndex, topics: DataFrame) -> DataFrame:
-        n, avg = corpus_numbers(index)
-        rows = _matched(index, topics, True)
+        n, avg = index.corpus_numbers()
         idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         norm = F.lit(self.k1) * (F.lit(1 - self.b) + F.lit(self.b) * (F.col("dl") / F.lit(avg)))
         weight = F.lit(self.k3 + 1) * F.col("qtf") / (F.lit(self.k3) + F.col("qtf"))
-        return rows.select("topic", "kw_pos", "doc_idx", (idf * (F.col("tf") * F.lit(self.k1 + 1) / (F.col("tf") + norm)) * weight).alias("score"))
+        rows = _weighted(index, topics, idf=idf, weight=weight)
+        return rows.select("topic", "kw_pos", "doc_idx", (F.col("idf") * (F.col("tf") * F.lit(self.k1 + 1) / (F.col("tf") + norm)) * F.col("weight")).alias("score"))
 
 
 #: Terms are looked at up to this normalised frequency.
@@ -99,8 +95,8 @@ class AdaptiveBm25:
 
     def term_parameters(self, index: InvertedIndex, terms: DataFrame) -> DataFrame:
         """terms: term. Per term found in the index: term, df, ig1 (float), n_ig (int), k1 (float)."""
-        n, avg = corpus_numbers(index)
-        postings = query_postings(index, terms).join(index.docs.select("doc_idx", "dl"), "doc_idx")
+        n, avg = index.corpus_numbers()
+        postings = query_postings(index, terms)
         # How many postings have a normalised frequency that rounds to t, t = 101 and more together: at most 102 rows a term.
         bucket = F.least(F.floor(self.normalised_tf(avg).cast("double") + 0.5), F.lit(LAST + 2)).cast("int")
         histogram = postings.groupBy("term", bucket.alias("t")).agg(F.count(F.lit(1)).alias("n"))
@@ -125,9 +121,9 @@ class AdaptiveBm25:
         return best.select("term", "df", "ig1", "n_ig", F.col("b.j").cast("float").alias("k1"))
 
     def contributions(self, index: InvertedIndex, topics: DataFrame) -> DataFrame:
-        _, avg = corpus_numbers(index)
+        _, avg = index.corpus_numbers()
         parameters = self.term_parameters(index, topics.select("term").distinct())
-        rows = topics.join(parameters, "term").join(query_postings(index, topics), "term").join(index.docs.select("doc_idx", "dl"), "doc_idx").withColumn("c", self.normalised_tf(avg))
+        rows = topics.join(parameters, "term").join(index.postings, "term").withColumn("c", self.normalised_tf(avg))
         one = F.lit(1.0).cast("float")
         gain = (F.col("c") * (F.col("k1") + one) / (F.col("k1") + F.col("c"))).cast("float")
         return rows.select("topic", "kw_pos", "doc_idx", (F.col("qtf").cast("float") * gain * F.col("ig1")).cast("double").alias("score"))

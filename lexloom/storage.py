@@ -1,4 +1,4 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and files in it."""
 
 from __future__ import annotations
 
@@ -8,13 +8,45 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Functions of this package travel to the Python workers by value, so that executors need no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules["lexloom"])
 
+#: Input bytes that are worth a task of their own where there are idle cores.
+SPREAD_BYTES = 1 << 20
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a temporary folder on a local master (tests, one machine), else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "lexloom-scratch")
+    return base.rstrip("/")
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, or below a temporary folder where that is unset (tests, one machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "lexloom-scratch")
-    return f"{base.rstrip('/')}/lexloom/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/lexloom/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path in it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def version_of(spark: SparkSession, path: str) -> tuple:
+    """What changes when a file or folder is written again: its size and time."""
+    fs, at = hadoop_path(spark, path)
+    return fs.getContentSummary(at).getLength(), fs.getFileStatus(at).getModificationTime()
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A small table of few files dealt out to all cores; a table with work for all of them as it is."""
+    spark = table.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(cores) if cores > 1 and SPREAD_BYTES < size < cores * 16 * SPREAD_BYTES else table

@@ -16,9 +16,11 @@ from lexloom.options import IndexOptions
 
 def append_segment(batch: DataFrame, number: int, path: str, options: IndexOptions) -> None:
     """batch: doc_idx, docno, content; doc_idx is unique over the whole stream."""
+    batch = batch.persist()  # both tables come from one read of the source
     index = build_index(batch, options)
     for name, table in (("docs", index.docs), ("postings", index.postings)):
         table.write.mode("overwrite").parquet(f"{path}/{name}/segment={number}")
+    batch.unpersist()
 
 
 def index_stream(docs: DataFrame, path: str, checkpoint: str, options: IndexOptions, **trigger) -> StreamingQuery:

@@ -144,7 +144,10 @@ def test_topic_sections(spark):
 
 def test_run_lines(spark):
     run = spark.createDataFrame([(401, 1, "A1", 0.981644)], "topic int, rank int, docno string, score double")
-    assert run_lines(run, "run-all").collect()[0].line == "401 Q0 A1 1 0.9816440 run-all"
+    assert run_lines(run, "run-all").collect()[0].line == "401 Q0 A1 1 0.981644 run-all"
+    values = [12.0, 0.0, -3.5, 1.23456789, 0.000012, 123456789.0, 100.0, 0.5]
+    lines = run_lines(spark.createDataFrame([(1, i, "d", v) for i, v in enumerate(values)], "topic int, rank int, docno string, score double"), "r").orderBy("rank").collect()
+    assert [x.line.split()[4] for x in lines] == ["12", "0", "-3.5", "1.234568", "1.2E-05", "1.234568E+08", "100", "0.5"]
     assert run_file_name("x", Bm25()) == "results-x-BM25Scorer.txt" and run_file_name("x", TfIdf()) == "results-x-TfIdfScorer.txt"
 
 
@@ -161,8 +164,10 @@ def test_command_line_and_files(spark, tmp_path):
     assert main([]) == 1
     assert main(["index", str(tmp_path / "c"), str(tmp_path / "index"), "IndexOptions(CaseFolding)"]) == 0
     assert main(["search", "all", str(tmp_path / "topics"), str(tmp_path / "index"), "QueryOptions(UseHeadline)", str(tmp_path / "runs")]) == 0
-    lines = spark.read.text(str(tmp_path / "runs" / "results-all-BM25Scorer.txt")).collect()
-    assert [x.value.split()[2] for x in lines] == ["D6", "D7", "D3"]
+    written = tmp_path / "runs" / "results-all-BM25Scorer.txt"
+    assert written.is_file() and not (tmp_path / "runs" / "results-all-BM25Scorer.txt.parts").exists()
+    lines = written.read_text().splitlines()
+    assert [x.split()[2:5] for x in lines] == [["D6", "1", "2.999303"], ["D7", "2", "2.555121"], ["D3", "3", "0.767199"]]
     assert parse_topics(spark, str(tmp_path / "topics"), QueryOptions(use_headline=True), IndexOptions(case_folding=True)).count() == 5
 
 
@@ -183,4 +188,4 @@ def test_stream(spark, docs, tmp_path):
 def test_stemming_index(spark):
     docs = spark.createDataFrame([(0, "a", "Agreed agreed happy "), (1, "b", "agree ")], "doc_idx bigint, docno string, content string")
     index = build_index(docs, IndexOptions(True, True, True))
-    assert sorted(tuple(r) for r in index.postings.collect()) == [("agre", 0, 2), ("agre", 1, 1), ("happi", 0, 1)]
+    assert sorted(tuple(r) for r in index.postings.collect()) == [("agre", 0, 2, 3), ("agre", 1, 1, 1), ("happi", 0, 1, 3)]
