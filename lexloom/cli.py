@@ -11,7 +11,7 @@ from lexloom.operators.index import InvertedIndex, build_index
 from lexloom.operators.rank import search_all
 from lexloom.options import IndexOptions, QueryOptions
 from lexloom.sources.topics import parse_topics
-from lexloom.sources.trec import trec_documents
+from lexloom.sources.trec import collection_size, trec_documents
 
 USAGE = """python -m lexloom index <folder> <index> IndexOptions(CaseFolding,RemoveStopWords,DoStemming)
 python -m lexloom search <run name> <topic file> <index> QueryOptions(UseHeadline,UseDescription,UseNarrative) [<output folder>]"""
@@ -20,9 +20,12 @@ python -m lexloom search <run name> <topic file> <index> QueryOptions(UseHeadlin
 def index_command(spark: SparkSession, folder: str, path: str, options: str) -> None:
     began, chosen = time.time(), IndexOptions.parse(options)
     print(chosen)
+    files, size = collection_size(spark, folder)
+    print(f"{files} files, {size / 1e6:.1f} MB")
     build_index(trec_documents(spark, folder), chosen).save(path)
+    took = max(time.time() - began, 1e-9)
     stats = InvertedIndex.load(spark, path).describe()
-    print(f"{stats.n_docs} documents, {stats.n_tokens} tokens, {stats.n_terms} terms, {stats.n_postings} postings in {time.time() - began:.1f} s")
+    print(f"{stats.n_docs} documents, {stats.n_tokens} tokens, {stats.n_terms} terms, {stats.n_postings} postings in {took:.1f} s, {size / 1e6 / took:.2f} MB/s")
 
 
 def search_command(spark: SparkSession, run: str, topics: str, path: str, options: str, out: str = ".") -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.stemming import stem_udf, stem_vocabulary
@@ -14,8 +14,8 @@ from lexloom.operators.membership import count_members
 from lexloom.operators.rank import run_lines, search
 from lexloom.operators.scoring import AdaptiveBm25, Bm25, TfIdf
 from lexloom.options import IndexOptions, QueryOptions
-from lexloom.sources.topics import keywords, table_topics, topic_lines
-from lexloom.sources.trec import split_files, table_documents
+from lexloom.sources.topics import keywords, parse_topics, table_topics, topic_lines
+from lexloom.sources.trec import split_files, table_documents, trec_documents
 from lexloom.storage import scratch_path, spread, version_of
 
 FOLD = IndexOptions(case_folding=True)
@@ -233,6 +233,43 @@ def trec_split_strict(spark, sf_dir):
     return split_files(_as_trec(spark, sf_dir), strict=True).select("docno", "content")
 
 
+@query("SELECT (row_number() OVER (ORDER BY doc_id % 7, doc_id) - 1)::BIGINT AS doc_idx, doc_id::VARCHAR AS docno, chr(10) || text AS content FROM documents")
+def collection_scan(spark, sf_dir):
+    """documents written as a folder of seven collection files, and read back in the order of files and places."""
+    path = scratch_path(spark, "collection")
+    order = Window.partitionBy("file").orderBy("doc_id")
+    docs = _table(spark, sf_dir, "documents").withColumn("file", F.col("doc_id") % 7)
+    whole = F.concat(F.lit("<DOC>\n<DOCNO> "), F.col("doc_id").cast("string"), F.lit(" </DOCNO>\n"), F.col("text"), F.lit("\n</DOC>"))
+    lines = docs.withColumn("n", F.row_number().over(order)).select("file", "n", whole.alias("value"))
+    lines.repartition(7, "file").sortWithinPartitions("file", "n").select("value", "file").write.partitionBy("file").text(path)
+    return trec_documents(spark, path)
+
+
+def _topic_text(rows: list[tuple[int, str]]) -> str:
+    return "".join(f"<top>\n<num> Number: {topic}\n<title> {text}\n</top>\n" for topic, text in rows)
+
+
+@query("SELECT * FROM (VALUES (7::INT, 0::INT, 'licence', 2::INT), (7, 1, 'text', 1), (8, 0, 'gene', 1), (8, 1, 'pages', 1)) v(topic, kw_pos, term, qtf)")
+def topic_file(spark, sf_dir):
+    """A topic file written to the shared folder and read back, stop words kept out."""
+    path = scratch_path(spark, "topics")
+    lines = _topic_text([(7, "The licence, licence of a TEXT"), (8, "gene pages")]).split("\n")
+    spark.createDataFrame(list(enumerate(lines)), "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.text(path)
+    return parse_topics(spark, path, QueryOptions(use_headline=True), IndexOptions(case_folding=True, remove_stop_words=True))
+
+
+@query(f"WITH {TOPIC_SQL}, kept AS (SELECT * FROM topics WHERE term NOT IN ({_words_sql(STOP_WORDS)})) SELECT topic, (row_number() OVER (PARTITION BY topic ORDER BY kw_pos) - 1)::INT AS kw_pos, term, qtf FROM kept")
+def topic_keywords_without_stop_words(spark, sf_dir):
+    return benchmark_topics(spark, sf_dir, IndexOptions(case_folding=True, remove_stop_words=True))
+
+
+@query("SELECT * FROM (VALUES ('QueryOptions(UseHeadline)', true, false, false), ('QueryOptions(UseHeadline,UseNarrative)', true, false, true), ('QueryOptions(UseDescription)', false, true, false), ('QueryOptions()', false, false, false)) v(text, use_headline, use_description, use_narrative)")
+def query_options_parse(spark, sf_dir):
+    texts = ("QueryOptions(UseHeadline)", "QueryOptions(UseHeadline,UseNarrative)", "QueryOptions(UseDescription)", "QueryOptions()")
+    rows = [(t, o.use_headline, o.use_description, o.use_narrative) for t in texts for o in [QueryOptions.parse(t)]]
+    return spark.createDataFrame(rows, "text string, use_headline boolean, use_description boolean, use_narrative boolean")
+
+
 @query(f"WITH {TOPIC_SQL} SELECT topic, kw_pos, term, qtf FROM topics")
 def topic_keywords(spark, sf_dir):
     return benchmark_topics(spark, sf_dir)

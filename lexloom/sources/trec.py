@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexloom.storage import hadoop_path
+
 START, MIDDLE, END = "<DOCNO>", "</DOCNO>", "</DOC>"
 
 
@@ -51,24 +53,49 @@ def number_documents(docs: DataFrame, file: str = "path", place: str = "pos") ->
     return docs.join(offsets, docs[file] == F.col("__f")).withColumn("doc_idx", F.col("__o") + F.col(place)).drop("__f", "__o")
 
 
+#: A proper beginning of a tag followed by another '<': there the strict scanner may miss a tag.
+BROKEN = "<(/?(D(O(C(N(O)?)?)?)?)?)?<"
+
+
+def is_regular(text: Column) -> Column:
+    """Texts in which split_native finds what the strict scanner finds: no broken tags, and no name left open at a </DOC>."""
+    pieces = F.split(F.coalesce(text, F.lit("")), END, -1)
+    open_name = F.exists(pieces, lambda p: p.contains(START) & ~F.regexp_like(p, F.lit(r"(?s)<DOCNO>.*?</DOCNO>")))
+    return ~F.coalesce(F.regexp_like(text, F.lit(BROKEN)), F.lit(False)) & ~open_name
+
+
 def split_files(files: DataFrame, strict: bool = True) -> DataFrame:
-    """files: path, value (whole texts). path, pos, docno, content: one row per closed document."""
+    """files: path, value (whole texts). path, pos, docno, content: one row per closed document. With `strict`, texts that
+    aren't regular go through the scanner in Python, all others through built-in expressions with the same result."""
+    native = lambda part: part.select("path", F.posexplode(split_native(F.col("value"))).alias("pos", "d")).select("path", F.col("pos").cast("bigint").alias("pos"), "d.docno", "d.content")
     if not strict:
-        found = files.select("path", F.posexplode(split_native(F.col("value"))).alias("pos", "d"))
-        return found.select("path", F.col("pos").cast("bigint").alias("pos"), "d.docno", "d.content")
+        return native(files)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(path, i, d, c) for path, value in zip(batch["path"], batch["value"], strict=True) for i, (d, c) in enumerate(split_strict(value or ""))]
-            yield pd.DataFrame(rows, columns=["path", "pos", "docno", "content"])
+            for path, value in zip(batch["path"], batch["value"], strict=True):  # a file at a time
+                yield pd.DataFrame([(path, i, d, c) for i, (d, c) in enumerate(split_strict(value or ""))], columns=["path", "pos", "docno", "content"])
+
+    files = files.select("path", "value")
+    odd = files.where(~is_regular(F.col("value"))).mapInPandas(run, "path string, pos bigint, docno string, content string")
+    return native(files.where(is_regular(F.col("value")))).unionByName(odd)
+
+
+def collection_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All files below folder, whatever their names: path, value (the whole text). Empty files give an empty text or no row."""
+    return spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+
 
-    return files.select("path", "value").mapInPandas(run, "path string, pos bigint, docno string, content string")
+def collection_size(spark: SparkSession, folder: str) -> tuple[int, int]:
+    """Files below folder and their bytes, from the folder's listing alone."""
+    fs, at = hadoop_path(spark, folder)
+    summary = fs.getContentSummary(at)
+    return summary.getFileCount(), summary.getLength()
 
 
 def trec_documents(spark: SparkSession, folder: str, strict: bool = True) -> DataFrame:
-    """All files below folder, whatever their names: doc_idx, docno, content. Files are read whole; empty ones have no document."""
-    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
-    return number_documents(split_files(files, strict)).select("doc_idx", "docno", "content")
+    """The documents of all files below folder: doc_idx, docno, content. Files are read whole."""
+    return number_documents(split_files(collection_files(spark, folder), strict)).select("doc_idx", "docno", "content")
 
 
 def trec_documents_split(spark: SparkSession, folder: str) -> DataFrame:
