@@ -6,12 +6,13 @@ FixedSizeList<ids>[length] and FixedSizeList<bool>[length] (the mask; false only
 lies at a computed place: readers map the file and take it without copying or decoding. Ids are stored as uint16 where
 the vocabulary allows it, else as uint32.
 
-Documents are dealt by ranges of their id, so the files in order hold the corpus in order; a range is a fixed share of
-the rows, and no key is ever gathered whole. A task that runs again writes the same files and replaces them at once
-(write to a name of its own, then move), so lost executors and speculation do no harm.
+Documents are dealt by ranges of their id and, among equal ids, of a hash of their text, so the files in order hold the
+corpus in order; a range is a fixed share of the rows, and only rows that repeat both are kept together. A task that runs
+again writes the same files and puts them in place of the former ones (write to a name of its own, then move), so lost
+executors and speculation do no harm.
 
 Defined results: a null text is an empty one (its end id alone); rows with a null id come first; repeated rows are
-stored as often as they occur; an empty table writes no file; columns other than id and text are ignored.
+stored as often as they occur, rows of one id by the hash of their text; an empty table writes no file; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -93,6 +94,8 @@ class SequenceWriter:
         self.index.close()
         for k, (final, tmp) in self.names.items():
             self.out[k].close()
+            if self.fs.get_file_info(final).is_file:  # a task that ran before wrote the same; not every store moves onto a file
+                self.fs.delete_file(final)
             self.fs.move(tmp, final)
 
 
@@ -100,7 +103,8 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k
     """Write the files and return their manifest: part (int, in order), docs, n_tokens and start (long: ids in the parts before)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

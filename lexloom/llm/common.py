@@ -5,9 +5,7 @@ Nothing outside this subpackage imports it.
 
 from __future__ import annotations
 
-import os
 import sys
-import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -16,6 +14,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.storage import hadoop_path, shared_folder
+
 # Functions of this subpackage travel to the Python workers by value, so that executors need no copy of the repository.
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
@@ -35,17 +35,22 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests, one machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "lexloom-scratch")
-    return base.rstrip("/")
+#: Paths that this process has made in the shared folder and not deleted yet, in order.
+MADE: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder (spark.checkpoint.dir; a temporary folder only on a local master)."""
+    MADE.append(f"{shared_folder(spark)}/lexloom/{name}-{uuid.uuid4().hex[:12]}")
+    return MADE[-1]
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Delete what was made in the shared folder after the first `since` paths; results that still read it must be written first."""
+    for path in [p for p in MADE[since:] if p != keep]:
+        fs, at = hadoop_path(spark, path)
+        fs.delete(at, True)
+        MADE.remove(path)
 
 
 #: Narrow rows (some numbers each) that make a file, where a table's number of rows is known beforehand.
@@ -60,6 +65,8 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd", rows: int | None
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.option("compression", codec).parquet(path)
+    fs, at = hadoop_path(spark, path)
+    fs.deleteOnExit(at)  # at the end of the application at the latest
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -87,12 +94,6 @@ def worker_state(name: str) -> dict:
     return store.__dict__.setdefault(name, {})
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Delete a table below the shared folder through Hadoop's file system."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 #: A key with at least this share of the rows is hot; there are fewer such keys than one by this share.
 HOT = 1e-3
 #: Rows of narrow keys that may travel to every task.

@@ -280,12 +280,9 @@ def partial_scores(rows: DataFrame, shared, model: Bilinear) -> DataFrame:
     return rows.select("doc_id", "held_out", "text").mapInArrow(lean(run), schema)
 
 
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: int = 1, folds: int = 5, head: int = HEAD, suffixes: int = SUFFIXES, heavy: int = HEAVY) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of whole texts)."""
-    spark = docs.sparkSession
-    remainder = id_remainder(doc_id, folds)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), (remainder == held_out).alias("held_out"), text_of(text).cast("binary").alias("text"))
-    training = rows.where(~F.col("held_out"))
+def fit(training: DataFrame, head: int = HEAD, suffixes: int = SUFFIXES, heavy: int = HEAVY) -> tuple[DataFrame, Classes, object, Bilinear]:
+    """training: text (binary). The vocabulary (word, c), its classes (and their broadcast), and the model."""
+    spark = training.sparkSession
     vocabulary = materialise(word_counts(training), "words")
     classes = choose_classes(vocabulary, head, suffixes, heavy)
     shared = spark.sparkContext.broadcast(classes)  # bounded by `heavy` words
@@ -294,8 +291,14 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     for batch in cells.to_batches():
         counts[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     del cells
-    model = train_nce(counts.reshape(-1, classes.size))
-    del counts
+    return vocabulary, classes, shared, train_nce(counts.reshape(-1, classes.size))
+
+
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: int = 1, folds: int = 5, head: int = HEAD, suffixes: int = SUFFIXES, heavy: int = HEAVY) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of whole texts)."""
+    remainder = id_remainder(doc_id, folds)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), (remainder == held_out).alias("held_out"), text_of(text).cast("binary").alias("text"))
+    vocabulary, classes, shared, model = fit(rows.where(~F.col("held_out")), head, suffixes, heavy)
     partial = materialise(partial_scores(rows, shared, model), "partial")
     rare = partial.select("uid", F.explode("rare").alias("r")).select("uid", F.col("r.word").alias("word"), F.col("r.m").alias("m"))
     looked = rare.join(vocabulary, "word", "left").groupBy("uid").agg(F.sum(F.col("m") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("known"))

@@ -17,9 +17,9 @@ The share of rows to look at is a parameter, since what a recall costs depends o
 random ones of 64 dimensions) need most of the rows, clustered ones a small part.
 
 Defined results: null vectors, zero vectors and those with null or non-finite components take no part, nor do vectors
-whose length isn't the most common one, nor rows with a null id; repeated ids are returned once per query, by
-their best row, and take one place; a query's own
-row (id) is never returned; an empty table gives an empty result; other columns are ignored.
+whose length isn't the most common one (no inner product with the others is defined), nor rows whose id is null or isn't
+a whole number (ids are cast to long); repeated ids are returned once per query, by their best row, and take one place; a
+query's own row (id) is never returned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ import pytest
 from helpers import SF, awkward, nothing, table
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexloom.llm import binary, lm, media, packing
 from lexloom.llm.queries import QUERIES
@@ -174,6 +175,19 @@ def test_token_files_awkward(spark, tok, tmp_path):
     assert binary.round_trip(nothing(spark), f"file://{tmp_path}/u").count() == 0
 
 
+def test_token_files_ties_and_reruns(spark, tok, tmp_path):
+    """Many rows without an id, and of one id: no part holds them all, the order is that of a hash; a second run replaces files."""
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit(None)).otherwise(F.lit(7)).cast("bigint").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+    folder = f"file://{tmp_path}/t"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # so little data would be one part
+    first, second = (binary.write_sequences(docs, folder).orderBy("part").collect() for _ in range(2))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(max(r.docs for r in x) < 1500 and sum(r.docs for r in x) == 3000 for x in (first, second))
+    rows = [tuple(r) for r in binary.read_documents(spark.createDataFrame(second), folder).orderBy("start").collect()]
+    assert rows == [tuple(r) for r in binary.round_trip(docs.orderBy(F.rand(3)), f"file://{tmp_path}/u").orderBy("start").collect()]
+    assert [r[0] for r in rows] == [None] * 2000 + [7] * 1000
+
+
 # ---- media ----
 
 
@@ -281,6 +295,32 @@ def test_language_model(spark):
     assert sum(s for s, _ in better) > 0.97 * sum(b for _, b in better)  # log10: closer to 0
 
 
+def test_scores_token_by_token(spark):
+    """The score of each text, from the model's vectors alone: a softmax over classes and a share of the class for each token."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["the", "cat", "sat", "on", "mats", "hats", f"rare{i}ing", f"odd{i}"], 30)) for i in range(80)] + ["", "unheard of cats", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in lm.score_documents(docs, head=3, suffixes=2, heavy=5).collect()}
+    training = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1).select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    vocabulary, k, _, model = lm.fit(training, head=3, suffixes=2, heavy=5)
+    counts = {bytes(r.word): r.c for r in vocabulary.collect()}
+    classes = {w: int(k.of([w])[0][0]) for w in [*counts, b"unheard", b"of", b"cats", b"\n"]}
+    mass, kinds = Counter(), Counter()
+    for w, c in counts.items():
+        mass[classes[w]] += c
+        kinds[classes[w]] += 1
+    for d, text in enumerate(texts):
+        total, a, b = 0.0, 0, 0  # classes of the last word and of that before it; the end stands before a text
+        for w in [*(text or "").encode().split(), b"\n"]:
+            c = classes.setdefault(w, int(k.of([w])[0][0]))
+            logits = [float((model.r1[a] + model.r2[k.coarse[b]]) @ model.q[x] + model.b[x]) for x in range(k.size)]
+            total += (logits[c] - np.log(np.sum(np.exp(logits)))) / np.log(10)
+            if not k.single[c]:
+                total += np.log10((counts.get(w, 0) + 0.5) / (mass[c] + 0.5 * (kinds[c] + 1)))
+            a, b = c, a
+        assert got[d] == pytest.approx(total, rel=1e-4), d
+
+
 def test_model_outcomes_sum_to_one(spark):
     docs = spark.createDataFrame([(i, "the cat sat on the mat " * 3 + f"rare{i} word{i}x") for i in range(60)], "doc_id bigint, text string")
     training = docs.selectExpr("cast(text as binary) AS text")

@@ -269,6 +269,38 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
 
 
+def plain_features(text):
+    """The same numbers from the text's bytes, one by one."""
+    data = text.encode()
+    words, n = data.split(), len(data)
+    if not words:
+        return [0.0] * quality.N_FEATURES
+    m, lines = len(words), [x for x in data.split(b"\n") if x]
+    small, capital, digit, wide = (sum(c in r for c in data) for r in (range(97, 123), range(65, 91), range(48, 58), range(128, 256)))
+    blank, breaks = sum(c in b" \t\r\x0b\x0c" for c in data), data.count(b"\n")
+    marks = [sum(c in chars for c in data) for chars in (b".,", b"!?", b"'\"-:;()", b"#$%&*+/<=>@[\\]^_`{|}~")]
+    other = n - small - capital - digit - wide - blank - breaks - sum(marks)
+    pairs = list(zip(words, words[1:]))
+    entropy = -sum(k / n * math.log(k / n) for k in collections.Counter(data).values())
+    return [
+        math.log1p(n) / 10, math.log1p(m) / 10, blank / n, breaks / n * 10, small / n, capital / max(1, small + capital + wide), digit / n * 10,
+        *[k / n * 10 for k in marks], wide / n, other / n * 10, (n - blank - breaks) / m / 10, len(set(words)) / m, len(set(pairs)) / len(pairs) if pairs else 1.0,
+        sum(a == b for a, b in pairs) / max(1, len(pairs)), len(set(lines)) / max(1, len(lines)), math.log1p(m / max(1, len(lines))) / 5, entropy / 5,
+    ]
+
+
+def test_scores_text_by_text(spark):
+    """Each row's score and decision from plain features and the network's weights."""
+    docs, labels = table(spark, "documents"), table(spark, "labels")
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    for r in docs.collect():
+        x = [min(8, max(-8, (v - m) / s)) for v, m, s in zip(plain_features(r.text or ""), model.mean, model.scale)]
+        hidden = [math.tanh(sum(a * w for a, w in zip(x, model.w1[:, j])) + model.b1[j]) for j in range(len(model.b1))]
+        score = 1 / (1 + math.exp(-sum(h * w for h, w in zip(hidden, model.w2)) - model.b2))
+        assert got[r.doc_id].score == pytest.approx(score, abs=1e-9) and got[r.doc_id].predicted == (score >= 0.3)
+
+
 def test_labels_of_held_out_rows_are_not_used(spark):
     docs, labels = table(spark, "documents"), table(spark, "labels")
     flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
