@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import mixing, packing, quality, simhash, substring
-from lexloom.llm.common import materialise, read_table
+from lexloom.llm.common import MADE, drop_scratch, materialise, read_table
 
 #: No stage but the fourth can be said in SQL, so the pipeline is tested against brute force.
 ORACLE_SQL = None
@@ -56,5 +56,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, over all of documents."""
     docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
+        made = len(MADE)
         docs = materialise(stage(spark, docs, sf_dir), "stage")
+        drop_scratch(spark, made, keep=MADE[-1])  # what only this stage has read
     return STAGES[-1][1](spark, docs, sf_dir)
