@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import id_remainder, lean, materialise, text_of
 
 #: Classes: words of their own, suffix groups; coarse classes; size of vectors; noise words per position.
-HEAD, SUFFIXES, COARSE, DIM, NOISE = 400, 110, 16, 32, 10
+HEAD, SUFFIXES, COARSE, DIM, NOISE = 400, 400, 16, 32, 10
 #: Words whose counts travel to every task, and distinct words held before they are passed on in counting.
 HEAVY, HELD = 100_000, 200_000
 #: Stands for the end of a text; no word holds white space.
@@ -150,22 +150,27 @@ def cell_counts(training: DataFrame, shared) -> DataFrame:
         import pyarrow as pa
 
         k = shared.value
-        table = np.zeros(k.size * COARSE * k.size, dtype=np.int64)
+        table = np.zeros(k.size * COARSE * k.size, dtype=np.int32)  # a task has fewer tokens than 2**31
+
+        def add(cells: list[np.ndarray]) -> None:
+            cell, n = np.unique(np.concatenate(cells), return_counts=True)
+            table[cell] += n.astype(np.int32)
+
         for batch in batches:
             cells, size = [], 0
             for x in batch.column(0):
                 found, _ = k.of(tokens(x.as_py()))
-                cells.append(k.contexts(found) * k.size + found)
+                cells.append((k.contexts(found) * k.size + found).astype(np.int32))
                 size += len(found)
-                if size > 1 << 21:
-                    np.add(table, np.bincount(np.concatenate(cells), minlength=len(table)), out=table)
+                if size > 1 << 20:
+                    add(cells)
                     cells, size = [], 0
             if cells:
-                np.add(table, np.bincount(np.concatenate(cells), minlength=len(table)), out=table)
+                add(cells)
         cell = np.flatnonzero(table)
         for at in range(0, len(cell), 1 << 17):
             part = cell[at : at + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(table[part])], names=["cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(table[part].astype(np.int64))], names=["cell", "n"])
 
     return training.select("text").mapInArrow(lean(run), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
 
