@@ -80,9 +80,11 @@ class InvertedIndex:
         """terms (kw_pos, term) joined to their postings, in keyword order; unknown terms give nothing."""
         return terms.join(self.postings, "term").select("kw_pos", "term", "doc_idx", "tf")
 
-    def posting_arrays(self) -> DataFrame:
-        """One row per term: its postings as an array in document order."""
-        return self.postings.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc_idx", "tf"))).alias("postings"))
+    def posting_arrays(self, block: int = 1 << 20) -> DataFrame:
+        """term, block, postings: a term's postings as arrays in document order, one for each `block` document numbers, so
+        that a row is bounded however frequent the term is."""
+        at = F.floor(F.col("doc_idx") / F.lit(block)).cast("bigint").alias("block")
+        return self.postings.groupBy("term", at).agg(F.array_sort(F.collect_list(F.struct("doc_idx", "tf"))).alias("postings"))
 
     def find_document(self, docno: str) -> DataFrame:
         """The first doc_idx of that name, -1 if there is none."""

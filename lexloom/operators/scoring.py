@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.operators.index import InvertedIndex
+from lexloom.storage import if_small, scratch_path
 
 
 class Scorer(Protocol):
@@ -25,9 +26,16 @@ class Scorer(Protocol):
         ...
 
 
+def materialise(table: DataFrame) -> DataFrame:
+    """A small table, written to the shared folder and read back."""
+    path = scratch_path(table.sparkSession, "parameters")
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def query_postings(index: InvertedIndex, topics: DataFrame) -> DataFrame:
     """Postings of the topics' terms only."""
-    return index.postings.join(topics.select("term").distinct(), "term", "left_semi")
+    return index.postings.join(if_small(topics.select("term").distinct()), "term", "left_semi")
 
 
 def _weighted(index: InvertedIndex, topics: DataFrame, **weights) -> DataFrame:
@@ -36,7 +44,7 @@ def _weighted(index: InvertedIndex, topics: DataFrame, **weights) -> DataFrame:
     Where frequencies aren't saved they are counted over the query terms' postings only."""
     stats = index.terms if index.terms is not None else query_postings(index, topics).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     known = topics.join(stats, "term").select("topic", "kw_pos", "term", *[w.alias(name) for name, w in weights.items()])
-    return known.join(index.postings, "term")
+    return index.postings.join(if_small(known), "term")
 
 
 @dataclass(frozen=True)
@@ -123,7 +131,8 @@ class AdaptiveBm25:
     def contributions(self, index: InvertedIndex, topics: DataFrame) -> DataFrame:
         _, avg = index.corpus_numbers()
         parameters = self.term_parameters(index, topics.select("term").distinct())
-        rows = topics.join(parameters, "term").join(index.postings, "term").withColumn("c", self.normalised_tf(avg))
+        known = if_small(materialise(topics.join(parameters, "term").select("topic", "kw_pos", "term", "qtf", "ig1", "k1")))
+        rows = index.postings.join(known, "term").withColumn("c", self.normalised_tf(avg))
         one = F.lit(1.0).cast("float")
         gain = (F.col("c") * (F.col("k1") + one) / (F.col("k1") + F.col("c"))).cast("float")
         return rows.select("topic", "kw_pos", "doc_idx", (F.col("qtf").cast("float") * gain * F.col("ig1")).cast("double").alias("score"))

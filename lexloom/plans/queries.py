@@ -151,11 +151,11 @@ def postings(spark, sf_dir):
     return documents_index(spark, sf_dir).postings.select("term", "doc_idx", "tf")
 
 
-@query(f"SELECT w AS term, list(struct_pack(doc_idx := doc_id, tf := tf) ORDER BY doc_id)::VARCHAR AS postings FROM (SELECT w, doc_id, count(*)::INT AS tf FROM ({tokens_sql()}) GROUP BY 1, 2) GROUP BY 1")
+@query(f"SELECT w AS term, doc_id // 1048576 AS block, list(struct_pack(doc_idx := doc_id, tf := tf) ORDER BY doc_id)::VARCHAR AS postings FROM (SELECT w, doc_id, count(*)::INT AS tf FROM ({tokens_sql()}) GROUP BY 1, 2) GROUP BY 1, 2")
 def posting_arrays(spark, sf_dir):
     arrays = saved_index(spark, sf_dir).posting_arrays()
     one = F.transform("postings", lambda p: F.concat(F.lit("{'doc_idx': "), p["doc_idx"].cast("string"), F.lit(", 'tf': "), p["tf"].cast("string"), F.lit("}")))
-    return arrays.select("term", F.concat(F.lit("["), F.array_join(one, ", "), F.lit("]")).alias("postings"))
+    return arrays.select("term", "block", F.concat(F.lit("["), F.array_join(one, ", "), F.lit("]")).alias("postings"))
 
 
 @query(f"WITH {INDEX_SQL} SELECT term, df FROM df")

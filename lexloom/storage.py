@@ -9,6 +9,7 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Functions of this package travel to the Python workers by value, so that executors need no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules["lexloom"])
@@ -50,3 +51,12 @@ def spread(table: DataFrame) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return table.repartition(cores) if cores > 1 and SPREAD_BYTES < size < cores * 16 * SPREAD_BYTES else table
+
+
+#: Rows of narrow columns that may be sent to every task.
+SMALL_ROWS = 200_000
+
+
+def if_small(table: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A table of narrow rows, to be broadcast if it has at most `most` rows, else to be joined by a shuffle."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table.hint("merge")
