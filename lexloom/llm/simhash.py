@@ -379,6 +379,8 @@ SIMILAR = 0.8
 #: Sets, and shingles in them, that one task compares as a group.
 GROUP_ROWS, GROUP_SHINGLES = 1 << 13, 1 << 22
 PRINTS = [f"f{k}" for k in range(WORDS)]
+#: A node's row, with its keys, counts as so many narrow rows.
+WIDE = 8
 
 
 def _odd_numbers() -> np.ndarray:
@@ -592,7 +594,7 @@ def similar_nodes(rows: DataFrame, n: int = 5, group_rows: int = GROUP_ROWS, gro
     same = [F.first(c).alias(c) for c in ("size", *PRINTS, "keys")]  # equal sets have equal sketches
     nodes = prints.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), least, *same)
     # Numbers are written once and so stay fixed.
-    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", rows=prints.count())
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", rows=WIDE * prints.count())
     n_nodes = nodes.count()
     marked, roots = nodes.withColumn("known", F.col("node")), None
     for salt, (bands, pairs) in enumerate(((FIRST_BANDS, False), (BANDS, False), (BANDS, True))):
@@ -605,7 +607,7 @@ def similar_nodes(rows: DataFrame, n: int = 5, group_rows: int = GROUP_ROWS, gro
         texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["i"]) & (rows["h"] == wanted["k"])).groupBy("node").agg(F.first("text").alias("text"))
         links = compare_sets(near, sets_of(texts, n))
         roots = connected(links if roots is None else roots.unionByName(links), n_near + (roots.count() if roots is not None else 0))
-        marked = materialise(nodes.join(roots, nodes["node"] == roots["u"], "left").select(nodes["*"], F.coalesce("v", "node").alias("known")), "marked", rows=n_nodes)
+        marked = materialise(nodes.join(roots, nodes["node"] == roots["u"], "left").select(nodes["*"], F.coalesce("v", "node").alias("known")), "marked", rows=WIDE * n_nodes)
     return prints, marked.withColumnRenamed("known", "root")
 
 
