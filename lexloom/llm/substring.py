@@ -31,9 +31,10 @@ MIN_LINE_WORDS, MIN_SENTENCE_WORDS = 10, 10
 LONG_RUN, RUN_WORD = 40, 6
 #: Marks that end a sentence: . ! ? and their wide forms (as UTF-8).
 MARKS, WIDE_MARKS = ".!?", "\u3002\uff01\uff1f"
-_INSIDE = rb"(?:[^.!?\n\xe3\xef]|\xe3(?!\x80\x82)|\xef(?!\xbc[\x81\x9f]))"
+_PLAIN = rb"[^.!?\n\xe3\xef]*"
+_INSIDE = _PLAIN + rb"(?:(?:\xe3(?!\x80\x82)|\xef(?!\xbc[\x81\x9f]))" + _PLAIN + rb")*"
 #: A sentence: up to its marks and the blanks after them, or what is left of the line.
-SENTENCE = re.compile(_INSIDE + rb"*(?:[.!?]|\xe3\x80\x82|\xef\xbc[\x81\x9f])+[ \t\r\x0b\x0c]*|" + _INSIDE + rb"+")
+SENTENCE = re.compile(_INSIDE + rb"(?:[.!?]|\xe3\x80\x82|\xef\xbc[\x81\x9f])+[ \t\r\x0b\x0c]*|(?=[^\n])" + _INSIDE)
 
 
 def _table() -> bytes:
