@@ -5,13 +5,16 @@ bytes. The model predicts the class of the next word from the class of the word
 before that: score(context, w) = (r1[a] + r2[t]) . q[w] + b[w]. A word's probability is its class's, normalised over all
 classes, times its smoothed share of the class, with one place in each class for unseen words; so all outcomes sum to 1.
 
-Training uses every training text: tasks count (context, class) cells, Spark sums them, and the driver follows the exact
-expectation of the noise-contrastive objective over those counts (data against k noise words per position drawn from the
-class frequencies), by matrix products over all contexts. The count table is bounded by contexts x classes, whatever the
-corpus; word counts, which grow with it, stay distributed. No sampling, so a run can be repeated exactly.
+The number of classes grows with the corpus: HEAD single words and SUFFIXES groups for each unit of the fourth root of its
+tokens. Training uses every training text: tasks count (context, class) cells and Spark sums them. The driver draws text
+positions evenly from these counts, and noise classes from the class frequencies, and follows the noise-contrastive
+objective of k noise words per position in minibatches, by matrix products. It holds one block of at most BLOCK cells at a
+time; contexts are dealt to blocks by hash and each block is visited PASSES times. Draws are seeded and cells are sorted,
+so a run can be repeated exactly. Word counts, which grow faster, stay distributed.
 
-Scoring: the log-softmax of all contexts is one batched matrix product per task; tokens then look their value up. Counts
-of the `heavy` most frequent words travel to the tasks; rarer words are looked up by a shuffle join (AQE splits hot keys).
+Scoring: one batched product over all contexts and classes gives the normaliser of each context; a token's log-probability
+is its own product less that. Counts of the `heavy` most frequent words travel to the tasks; rarer words are looked up by a
+shuffle join (AQE splits hot keys).
 
 Defined results: null texts count as empty (their end alone); rows with a null id count as id 'null' for the fold;
 repeated rows count as often as they occur and get equal scores; an empty table gives an empty result; other columns are
@@ -31,10 +34,18 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import id_remainder, lean, materialise, text_of
 
-#: Classes: words of their own, suffix groups; coarse classes; size of vectors; noise words per position.
-HEAD, SUFFIXES, COARSE, DIM, NOISE = 400, 110, 16, 32, 10
+#: Words of their own and suffix groups, each times the fourth root of the training tokens.
+HEAD, SUFFIXES = 6, 12
+#: Coarse classes; size of vectors; noise words per position.
+COARSE, DIM, NOISE = 16, 32, 10
+#: Steps of training a block, text positions and noise classes drawn for a step.
+STEPS, POSITIONS, DRAWS = 400, 16_384, 1024
+#: Cells that the driver holds at a time, and visits of each such block.
+BLOCK, PASSES = 8_000_000, 4
 #: Words whose counts travel to every task, and distinct words held before they are passed on in counting.
 HEAVY, HELD = 100_000, 200_000
+#: Cells held before they are passed on in counting.
+HELD_CELLS = 2_000_000
 #: Stands for the end of a text; no word holds white space.
 END = b"\n"
 
@@ -98,8 +109,12 @@ class Classes:
         return before[1:] * COARSE + self.coarse[before[:-1]] if len(classes) else before[:0]
 
 
-def choose_classes(vocabulary: DataFrame, head: int = HEAD, suffixes: int = SUFFIXES, heavy: int = HEAVY) -> Classes:
+def choose_classes(vocabulary: DataFrame, head: int | None = None, suffixes: int | None = None, heavy: int = HEAVY) -> Classes:
+    """head, suffixes: how many words of their own (at most `heavy`) and groups there are; by the number of tokens if not given."""
     total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).collect()[0]
+    root = total[0] ** 0.25
+    head = int(HEAD * root) if head is None else head
+    suffixes = int(SUFFIXES * root) if suffixes is None else suffixes
     # The lowest count (in steps of an eighth of a power of two) that at most `heavy` words reach.
     step = F.floor(F.log2("c") * 8).cast("int")
     bins = sorted(vocabulary.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["s"])  # some hundred rows
@@ -114,7 +129,8 @@ def choose_classes(vocabulary: DataFrame, head: int = HEAD, suffixes: int = SUFF
     del frequent
     own = [w for w, _ in pairs if w != END][:head]
     place = {END: 0} | {w: i + 1 for i, w in enumerate(own)}
-    rest = vocabulary.where(~F.col("word").isin([bytearray(w) for w in place]))
+    taken = vocabulary.sparkSession.createDataFrame([(bytearray(w),) for w in place], "word binary")
+    rest = vocabulary.join(F.broadcast(taken), "word", "left_anti")
     by_suffix = rest.groupBy(F.substring("word", -3, 3).alias("s")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))
     top = by_suffix.orderBy(F.desc("n"), F.asc("s")).limit(suffixes).collect()
     suffix = {bytes(r["s"]): len(place) + i for i, r in enumerate(top)}
@@ -150,24 +166,38 @@ def cell_counts(training: DataFrame, shared) -> DataFrame:
         import pyarrow as pa
 
         k = shared.value
-        table = np.zeros(k.size * COARSE * k.size, dtype=np.int64)
+        waiting, size = [], 0
+        held = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+
+        def add() -> tuple[np.ndarray, np.ndarray]:
+            cell, n = np.unique(np.concatenate(waiting), return_counts=True)
+            cell, n = np.concatenate([held[0], cell]), np.concatenate([held[1], n])
+            order = np.argsort(cell, kind="stable")
+            cell, n = cell[order], n[order]
+            starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            return cell[starts], np.add.reduceat(n, starts)
+
+        def out() -> Iterator:
+            for at in range(0, len(held[0]), 1 << 17):
+                part = slice(at, at + (1 << 17))
+                yield pa.RecordBatch.from_arrays([pa.array(held[0][part]), pa.array(held[1][part])], names=["cell", "n"])
+
         for batch in batches:
-            cells, size = [], 0
             for x in batch.column(0):
                 found, _ = k.of(tokens(x.as_py()))
-                cells.append(k.contexts(found) * k.size + found)
+                waiting.append(k.contexts(found) * k.size + found)
                 size += len(found)
-                if size > 1 << 21:
-                    np.add(table, np.bincount(np.concatenate(cells), minlength=len(table)), out=table)
-                    cells, size = [], 0
-            if cells:
-                np.add(table, np.bincount(np.concatenate(cells), minlength=len(table)), out=table)
-        cell = np.flatnonzero(table)
-        for at in range(0, len(cell), 1 << 17):
-            part = cell[at : at + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(table[part])], names=["cell", "n"])
+                if size > 1 << 20:
+                    held = add()
+                    waiting, size = [], 0
+                    if len(held[0]) > HELD_CELLS:
+                        yield from out()
+                        held = (held[0][:0], held[1][:0])
+        if waiting:
+            held = add()
+        yield from out()
 
-    return training.select("text").mapInArrow(lean(run), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    return training.select("text").mapInArrow(lean(run), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -182,6 +212,25 @@ class Bilinear:
         vectors = (self.r1[:, None, :] + self.r2[None, :, :]).reshape(-1, self.q.shape[1])
         return vectors @ self.q.T + self.b
 
+    def log_totals(self) -> np.ndarray:
+        """The natural logarithm of each context's normaliser, some contexts at a time."""
+        found = []
+        for a in range(0, len(self.r1), 128):
+            s = Bilinear(self.r1[a : a + 128], self.r2, self.q, self.b).scores()
+            top = s.max(axis=1, keepdims=True)
+            s -= top
+            found.append(np.log(np.exp(s, out=s).sum(axis=1, dtype=np.float64)) + top[:, 0])
+        return np.concatenate(found)
+
+    def log_probability(self, totals: np.ndarray, contexts: np.ndarray, classes: np.ndarray) -> float:
+        """The sum over positions of log-probabilities (natural)."""
+        total = 0.0
+        for at in range(0, len(classes), 1 << 16):
+            c, w = contexts[at : at + (1 << 16)], classes[at : at + (1 << 16)]
+            s = np.einsum("ij,ij->i", self.r1[c // COARSE] + self.r2[c % COARSE], self.q[w])
+            total += float((s + self.b[w] - totals[c]).sum(dtype=np.float64))
+        return total
+
     def log_probabilities(self) -> np.ndarray:
         """Natural logarithms; each row sums to 1 in probabilities."""
         s = self.scores()
@@ -189,57 +238,96 @@ class Bilinear:
         return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
 
 
-def train_nce(counts: np.ndarray, dim: int = DIM, noise: int = NOISE, steps: int = 160, rate: float = 0.05, seed: int = 3) -> Bilinear:
-    """counts: contexts x classes. Adam on the expected noise-contrastive objective."""
-    size, n_contexts = counts.shape[1], counts.shape[0]
+def _evenly(cumulated: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """n draws by these weights, evenly spaced from a random start: ascending places."""
+    points = (np.arange(n) + rng.random()) * (float(cumulated[-1]) / n)
+    return np.minimum(np.searchsorted(cumulated, points, side="right"), len(cumulated) - 1)
+
+
+def _sums(rows: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
+    """Sums of rows by key."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    out = np.zeros((size, *rows.shape[1:]), dtype=rows.dtype)
+    out[keys[starts]] = np.add.reduceat(rows[order], starts, axis=0)
+    return out
+
+
+def train_cells(blocks: Iterable[tuple[np.ndarray, np.ndarray, int]], totals: np.ndarray, steps: int, dim: int = DIM, noise: int = NOISE, rate: float = 0.05, seed: int = 3) -> Bilinear:
+    """blocks: (cells in ascending order, their counts, steps to take with them); totals: counts of classes; steps: those of
+    all blocks, which set how the rate falls. Adam on the noise-contrastive objective."""
+    size = len(totals)
     rng = np.random.default_rng(seed)
     f = np.float32
-    totals = counts.sum(axis=0, dtype=np.float64)
-    total = max(1.0, float(totals.sum()))
     share = (totals + 0.5) / (totals.sum() + 0.5 * size)
-    kp = (noise * share).astype(f)
-    weight = counts.sum(axis=1, dtype=np.float64) / total
-    live = np.flatnonzero(weight > 0)  # contexts that occur
-    first, second = live // COARSE, live % COARSE
-    n = counts[live].astype(f)
-    n /= f(total)
-    both = weight[live, None].astype(f) * kp  # noise, and data
-    both += n
-    params = [rng.normal(0, 0.1, (n_contexts // COARSE, dim)).astype(f), rng.normal(0, 0.1, (COARSE, dim)).astype(f), rng.normal(0, 0.1, (size, dim)).astype(f), np.log(share).astype(f)]
+    cumulated_share = np.cumsum(share)
+    log_kp = np.log(noise * share).astype(f)
+    params = [rng.normal(0, 0.1, (size, dim)).astype(f), rng.normal(0, 0.1, (COARSE, dim)).astype(f), rng.normal(0, 0.1, (size, dim)).astype(f), np.log(share).astype(f)]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    log_kp = np.log(kp)
-    starts = np.flatnonzero(np.append(True, np.diff(first) > 0)) if len(live) else np.zeros(0, dtype=np.int64)
-    slope = np.empty_like(n)
-    for step in range(1, steps + 1):
-        if not len(live):
-            break
-        vectors = params[0][first] + params[1][second]
-        # The slope by score: noise taken for data less data taken for noise, = sig * (noise + data) - data; in one buffer.
-        np.matmul(vectors, params[2].T, out=slope)
-        slope += params[3] - log_kp
-        np.clip(slope, -30, 30, out=slope)
-        np.negative(slope, out=slope)
-        np.exp(slope, out=slope)
-        slope += 1
-        np.divide(both, slope, out=slope)
-        slope -= n
-        dv = slope @ params[2]
-        g1, g2 = np.zeros_like(params[0]), np.zeros_like(params[1])
-        g1[first[starts]] = np.add.reduceat(dv, starts, axis=0)
-        for t in range(COARSE):
-            g2[t] = dv[second == t].sum(axis=0)
-        grads = [g1, g2, slope.T @ vectors, slope.sum(axis=0)]
-        now = rate * (1 - step / (steps + 1)) ** 0.5
-        for i, g in enumerate(grads):
-            m1[i] = 0.9 * m1[i] + f(0.1) * g
-            m2[i] = 0.98 * m2[i] + f(0.02) * g * g
-            params[i] = (params[i] - now * (m1[i] / (1 - 0.9**step)) / (np.sqrt(m2[i] / (1 - 0.98**step)) + 1e-9)).astype(f)
+    step = 0
+    for cells, counts, visit in blocks:
+        cumulated = np.cumsum(counts, dtype=np.float64)
+        for _ in range(visit if len(cells) else 0):
+            step += 1
+            r1, r2, q, b = params
+            drawn = cells[_evenly(cumulated, POSITIONS, rng)]
+            context, word = drawn // size, drawn % size
+            starts = np.flatnonzero(np.append(True, context[1:] != context[:-1]))  # drawn cells ascend, so contexts do
+            times = np.diff(np.append(starts, POSITIONS))
+            first, second = context[starts] // COARSE, context[starts] % COARSE
+            vectors = r1[first] + r2[second]
+            # Data: the slope by score is -P(noise | data word).
+            rows = np.repeat(vectors, times, axis=0)
+            targets = q[word]
+            score = np.einsum("ij,ij->i", rows, targets) + b[word] - log_kp[word]
+            data = -1 / (1 + np.exp(np.clip(score, -30, 30))) / f(POSITIONS)
+            # Noise: drawn classes stand for k words beside each position; the slope is P(data | noise word).
+            classes, often = np.unique(_evenly(cumulated_share, DRAWS, rng), return_counts=True)
+            other = q[classes]
+            slope = vectors @ other.T
+            slope += b[classes] - log_kp[classes]
+            np.clip(slope, -30, 30, out=slope)
+            np.negative(slope, out=slope)
+            np.exp(slope, out=slope)
+            slope += 1
+            np.divide((times / POSITIONS).astype(f)[:, None] * (often * (noise / DRAWS)).astype(f), slope, out=slope)
+            by_context = np.add.reduceat(data[:, None] * targets, starts, axis=0) + slope @ other
+            by_word = _sums(data[:, None] * rows, word, size)
+            by_word[classes] += slope.T @ vectors
+            bias = np.bincount(word, weights=data, minlength=size).astype(f)
+            bias[classes] += slope.sum(axis=0)
+            grads = [_sums(by_context, first, size), _sums(by_context, second, COARSE), by_word, bias]
+            now = rate * (1 - step / (steps + 1)) ** 0.5
+            for i, g in enumerate(grads):
+                m1[i] = 0.9 * m1[i] + f(0.1) * g
+                m2[i] = 0.98 * m2[i] + f(0.02) * g * g
+                params[i] = (params[i] - now * (m1[i] / (1 - 0.9**step)) / (np.sqrt(m2[i] / (1 - 0.98**step)) + 1e-9)).astype(f)
     return Bilinear(*params)
 
 
+def train_nce(counts: np.ndarray, steps: int = STEPS, **options) -> Bilinear:
+    """counts: contexts x classes, held whole."""
+    cells = np.flatnonzero(counts)
+    return train_cells([(cells, counts.ravel()[cells], steps)], counts.sum(axis=0, dtype=np.float64), steps, **options)
+
+
+def cell_blocks(cells: DataFrame, size: int, number: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The blocks of a saved table of cells, each PASSES times; a single one is read once."""
+    for _ in range(PASSES if number > 1 else 1):
+        for i in range(number):
+            part = cells if number == 1 else cells.where(F.pmod(F.xxhash64(F.floor(F.col("cell") / size)), F.lit(number)) == i)
+            held = part.toArrow()  # about BLOCK rows
+            cell, n = held.column("cell").to_numpy(), held.column("n").to_numpy()
+            del held
+            order = np.argsort(cell)
+            yield cell[order], n[order], STEPS // PASSES if number > 1 else STEPS
+
+
 def partial_scores(rows: DataFrame, shared, model: Bilinear) -> DataFrame:
     """rows: doc_id, held_out, text. Sums over each text's tokens, all but the counts of rare words, which are listed."""
     kind = rows.schema["doc_id"].dataType.simpleString()
+    totals = model.log_totals()
     schema = f"uid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, counts double, shared double, classes double, rare array<struct<word:binary,m:int>>"
 
     def run(batches: Iterator) -> Iterator:
@@ -247,7 +335,6 @@ def partial_scores(rows: DataFrame, shared, model: Bilinear) -> DataFrame:
         from pyspark import TaskContext
 
         k = shared.value
-        table = (model.log_probabilities() / np.log(10)).ravel()
         uid = TaskContext.get().partitionId() << 33
         rare_type = pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int32())]))
         # Single-word classes: the class is the word, so its count drops out of the model's score.
@@ -267,7 +354,7 @@ def partial_scores(rows: DataFrame, shared, model: Bilinear) -> DataFrame:
                         int(heavy.sum()),
                         float(logs.sum()),  # of heavy words, for the base
                         float(logs[grouped[heavy]].sum() - k.inside[found].sum()),  # of heavy words in groups, for the model
-                        float(table[k.contexts(found) * k.size + found].sum()),
+                        model.log_probability(totals, k.contexts(found), found) / float(np.log(10)),
                         [{"word": w, "m": m} for w, m in rare.items()],
                     )
                     for col, v in zip(out, values, strict=True):
@@ -280,21 +367,23 @@ def partial_scores(rows: DataFrame, shared, model: Bilinear) -> DataFrame:
     return rows.select("doc_id", "held_out", "text").mapInArrow(lean(run), schema)
 
 
-def fit(training: DataFrame, head: int = HEAD, suffixes: int = SUFFIXES, heavy: int = HEAVY) -> tuple[DataFrame, Classes, object, Bilinear]:
+def fit(training: DataFrame, head: int | None = None, suffixes: int | None = None, heavy: int = HEAVY, block: int = BLOCK) -> tuple[DataFrame, Classes, object, Bilinear]:
     """training: text (binary). The vocabulary (word, c), its classes (and their broadcast), and the model."""
     spark = training.sparkSession
     vocabulary = materialise(word_counts(training), "words")
     classes = choose_classes(vocabulary, head, suffixes, heavy)
     shared = spark.sparkContext.broadcast(classes)  # bounded by `heavy` words
-    cells = cell_counts(training, shared).toArrow()  # bounded by contexts x classes
-    counts = np.zeros(classes.size * COARSE * classes.size, dtype=np.float32)
-    for batch in cells.to_batches():
-        counts[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    del cells
-    return vocabulary, classes, shared, train_nce(counts.reshape(-1, classes.size))
+    cells = materialise(cell_counts(training, shared), "cells")
+    totals = np.zeros(classes.size)
+    held = 0
+    for r in cells.groupBy((F.col("cell") % classes.size).alias("w")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("cells")).collect():  # a row for each class
+        totals[r["w"]] = r["n"]
+        held += r["cells"]
+    number = max(1, -(-held // block))
+    return vocabulary, classes, shared, train_cells(cell_blocks(cells, classes.size, number), totals, number * STEPS)
 
 
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: int = 1, folds: int = 5, head: int = HEAD, suffixes: int = SUFFIXES, heavy: int = HEAVY) -> DataFrame:
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: int = 1, folds: int = 5, head: int | None = None, suffixes: int | None = None, heavy: int = HEAVY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of whole texts)."""
     remainder = id_remainder(doc_id, folds)
     rows = docs.select(F.col(doc_id).alias("doc_id"), (remainder == held_out).alias("held_out"), text_of(text).cast("binary").alias("text"))

@@ -346,6 +346,33 @@ def test_noise_contrastive_training_finds_the_distribution():
     assert np.abs(p - truth).max() < 0.05
 
 
+def test_classes_grow_with_the_corpus(spark):
+    few = spark.range(2_000).selectExpr("cast(concat('w', id) as binary) AS word", "cast(1 + 4000 div (id + 1) as bigint) AS c")
+    many = few.withColumn("c", F.col("c") * 100)
+    small, large = lm.choose_classes(few), lm.choose_classes(many)
+    n = few.agg(F.sum("c")).collect()[0][0]
+    assert (small.n, large.n) == (n, 100 * n)
+    assert int(large.single.sum()) == 1 + int(lm.HEAD * (100 * n) ** 0.25) > int(small.single.sum())
+
+
+def test_training_by_blocks(spark):
+    """Cells dealt to several blocks: every cell is in one of them, and the scores are near those of a single block."""
+    docs = spark.createDataFrame([(i, "the cat sat on the mat and the dog lay by the door " * 4 + f"rare{i}") for i in range(100)], "doc_id bigint, text string")
+    training = docs.selectExpr("cast(text as binary) AS text")
+    _, k, shared, whole = lm.fit(training, head=12, suffixes=2)
+    cells = lm.cell_counts(training, shared)
+    expected = {r.cell: r.n for r in cells.collect()}
+    blocks = list(lm.cell_blocks(cells, k.size, 3))
+    assert len(blocks) == 3 * lm.PASSES
+    found = [dict(zip(c.tolist(), n.tolist())) for c, n, _ in blocks[:3]]
+    assert sum(map(len, found)) == len(expected) and {c: n for part in found for c, n in part.items()} == expected
+    _, _, _, parted = lm.fit(training, head=12, suffixes=2, block=10)
+    at = np.array(sorted(expected))
+    weight = np.array([expected[c] for c in at.tolist()]) / sum(expected.values())
+    one, other = whole.log_probabilities().ravel()[at], parted.log_probabilities().ravel()[at]
+    assert (weight * one).sum() > -0.5 and abs((weight * (one - other)).sum()) < 0.1
+
+
 def test_language_model_awkward(spark):
     rows = lm.score_documents(awkward(spark)).collect()
     assert len(rows) == 9 and all(r.score is not None and np.isfinite(r.score) for r in rows)
