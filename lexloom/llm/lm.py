@@ -32,16 +32,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import id_remainder, lean, materialise, text_of
+from lexloom.llm.common import id_remainder, lean, materialise, scratch, text_of
+from lexloom.storage import hadoop_path
 
 #: Words of their own and suffix groups, each times the fourth root of the training tokens.
 HEAD, SUFFIXES = 6, 12
 #: Coarse classes; size of vectors; noise words per position.
 COARSE, DIM, NOISE = 16, 32, 10
-#: Steps of training a block, text positions and noise classes drawn for a step.
+#: Least steps of training, text positions and noise classes drawn for a step.
 STEPS, POSITIONS, DRAWS = 400, 16_384, 1024
-#: Cells that the driver holds at a time, and visits of each such block.
-BLOCK, PASSES = 8_000_000, 4
+#: Cells that the driver holds at a time; where there are several such blocks, visits of each and steps of a visit.
+BLOCK, PASSES, VISIT = 2_000_000, 8, 25
 #: Words whose counts travel to every task, and distinct words held before they are passed on in counting.
 HEAVY, HELD = 100_000, 200_000
 #: Cells held before they are passed on in counting.
@@ -312,16 +313,25 @@ def train_nce(counts: np.ndarray, steps: int = STEPS, **options) -> Bilinear:
     return train_cells([(cells, counts.ravel()[cells], steps)], counts.sum(axis=0, dtype=np.float64), steps, **options)
 
 
-def cell_blocks(cells: DataFrame, size: int, number: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """The blocks of a saved table of cells, each PASSES times; a single one is read once."""
+def by_block(cells: DataFrame, size: int, number: int) -> DataFrame:
+    """The table of cells saved again in folders by the hash of the context, so that a block is read alone."""
+    path = scratch(cells.sparkSession, "blocks")
+    block = F.pmod(F.xxhash64(F.floor(F.col("cell") / size)), F.lit(number)).cast("int")
+    cells.withColumn("block", block).repartition("block").write.partitionBy("block").parquet(path)
+    fs, at = hadoop_path(cells.sparkSession, path)
+    fs.deleteOnExit(at)
+    return cells.sparkSession.read.schema("cell bigint, n bigint, block int").parquet(path)
+
+
+def cell_blocks(cells: DataFrame, number: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """What train_cells takes, from cells or, for several blocks, from by_block of them."""
     for _ in range(PASSES if number > 1 else 1):
         for i in range(number):
-            part = cells if number == 1 else cells.where(F.pmod(F.xxhash64(F.floor(F.col("cell") / size)), F.lit(number)) == i)
-            held = part.toArrow()  # about BLOCK rows
+            held = (cells.where(F.col("block") == i) if number > 1 else cells).select("cell", "n").toArrow()  # about BLOCK rows
             cell, n = held.column("cell").to_numpy(), held.column("n").to_numpy()
             del held
             order = np.argsort(cell)
-            yield cell[order], n[order], STEPS // PASSES if number > 1 else STEPS
+            yield cell[order], n[order], VISIT if number > 1 else STEPS
 
 
 def partial_scores(rows: DataFrame, shared, model: Bilinear) -> DataFrame:
@@ -380,7 +390,9 @@ def fit(training: DataFrame, head: int | None = None, suffixes: int | None = Non
         totals[r["w"]] = r["n"]
         held += r["cells"]
     number = max(1, -(-held // block))
-    return vocabulary, classes, shared, train_cells(cell_blocks(cells, classes.size, number), totals, number * STEPS)
+    if number > 1:
+        cells = by_block(cells, classes.size, number)
+    return vocabulary, classes, shared, train_cells(cell_blocks(cells, number), totals, number * PASSES * VISIT if number > 1 else STEPS)
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: int = 1, folds: int = 5, head: int | None = None, suffixes: int | None = None, heavy: int = HEAVY) -> DataFrame:

@@ -362,7 +362,7 @@ def test_training_by_blocks(spark):
     _, k, shared, whole = lm.fit(training, head=12, suffixes=2)
     cells = lm.cell_counts(training, shared)
     expected = {r.cell: r.n for r in cells.collect()}
-    blocks = list(lm.cell_blocks(cells, k.size, 3))
+    blocks = list(lm.cell_blocks(lm.by_block(cells, k.size, 3), 3))
     assert len(blocks) == 3 * lm.PASSES
     found = [dict(zip(c.tolist(), n.tolist())) for c, n, _ in blocks[:3]]
     assert sum(map(len, found)) == len(expected) and {c: n for part in found for c, n in part.items()} == expected
