@@ -29,8 +29,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/lexloom/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the application's part of the shared folder, which is deleted when the application ends."""
+    folder = f"{shared_folder(spark)}/lexloom/{spark.sparkContext.applicationId}"
+    fs, at = hadoop_path(spark, folder)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def hadoop_path(spark: SparkSession, path: str):
