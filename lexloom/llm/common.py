@@ -7,14 +7,13 @@ from __future__ import annotations
 
 import sys
 import types
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.storage import hadoop_path, shared_folder
+from lexloom.storage import hadoop_path, scratch_path
 
 # Functions of this subpackage travel to the Python workers by value, so that executors need no copy of the repository.
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
@@ -40,8 +39,9 @@ MADE: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder (spark.checkpoint.dir; a temporary folder only on a local master)."""
-    MADE.append(f"{shared_folder(spark)}/lexloom/{name}-{uuid.uuid4().hex[:12]}")
+    """A new path in the shared folder (spark.checkpoint.dir; a temporary folder only on a local master); it goes when the
+    application ends, at the latest."""
+    MADE.append(scratch_path(spark, name))
     return MADE[-1]
 
 
@@ -65,8 +65,6 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd", rows: int | None
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.option("compression", codec).parquet(path)
-    fs, at = hadoop_path(spark, path)
-    fs.deleteOnExit(at)  # at the end of the application at the latest
     return spark.read.schema(df.schema).parquet(path)
 
 

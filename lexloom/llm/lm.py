@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import id_remainder, lean, materialise, scratch, text_of
-from lexloom.storage import hadoop_path
 
 #: Words of their own and suffix groups, each times the fourth root of the training tokens.
 HEAD, SUFFIXES = 6, 12
@@ -318,8 +317,6 @@ def by_block(cells: DataFrame, size: int, number: int) -> DataFrame:
     path = scratch(cells.sparkSession, "blocks")
     block = F.pmod(F.xxhash64(F.floor(F.col("cell") / size)), F.lit(number)).cast("int")
     cells.withColumn("block", block).repartition("block").write.partitionBy("block").parquet(path)
-    fs, at = hadoop_path(cells.sparkSession, path)
-    fs.deleteOnExit(at)
     return cells.sparkSession.read.schema("cell bigint, n bigint, block int").parquet(path)
 
 
