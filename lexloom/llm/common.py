@@ -5,6 +5,7 @@ Nothing outside this subpackage imports it.
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
@@ -34,6 +35,30 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Rows that the Parquet reader decodes at a time where texts are read; it holds their texts in one array.
+READ_ROWS = 256
+
+
+def small_reads(spark: SparkSession) -> SparkSession:
+    """small_batches, and texts decoded from Parquet READ_ROWS at a time (4,096 by default), so that they don't add up in the JVM."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(key, "4096")) > READ_ROWS:
+        spark.conf.set(key, str(READ_ROWS))
+    return small_batches(spark)
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, most: int) -> Iterator[None]:
+    """Arrow batches of at most `most` bytes for what is computed inside; afterwards as they were."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = str(spark.conf.get(key, "67108864b"))
+    spark.conf.set(key, str(min(most, int(before.rstrip("b")))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Paths that this process has made in the shared folder and not deleted yet, in order.
 MADE: list[str] = []
 

@@ -11,6 +11,9 @@ Skew: the first occurrence of a digest is a minimum, combined on the map side, s
 task; only digests that occur more than once are joined back, by a shuffle join that AQE can split. Units are written
 once to the shared folder.
 
+Memory: texts are decoded from Parquet 256 rows at a time, which the session keeps (`common.small_reads`), and go to Python
+1 MB at a time; with larger arrays an executor's heap grows well beyond what is alive in it (figures in the README).
+
 Defined results: null texts count as empty and come back as empty texts without spans; rows that repeat both id and text
 are one occurrence and get equal results; a null id ranks before all others; an empty table gives an empty result; other
 columns pass through `dedup_texts`, except those named like an output column, which are replaced.
@@ -24,11 +27,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import lean, materialise, text_of
+from lexloom.llm.common import batches_of, lean, materialise, small_reads, text_of
 
 MIN_LINE_WORDS, MIN_SENTENCE_WORDS = 10, 10
 #: Runs of so many bytes without a blank (scripts that write none) count as a word for each RUN_WORD bytes.
 LONG_RUN, RUN_WORD = 40, 6
+#: Bytes of an Arrow batch of texts whose units are looked for.
+UNIT_BATCH_BYTES = 1 << 20
 #: Marks that end a sentence: . ! ? and their wide forms (as UTF-8).
 MARKS, WIDE_MARKS = ".!?", "\u3002\uff01\uff1f"
 _PLAIN = rb"[^.!?\n\xe3\xef]*"
@@ -99,7 +104,8 @@ def unit_digests(docs: DataFrame, min_line: int = MIN_LINE_WORDS, min_sentence:
 
 def repeated_spans(docs: DataFrame, min_line: int = MIN_LINE_WORDS, min_sentence: int = MIN_SENTENCE_WORDS) -> DataFrame:
     """Per (__ll_id, __ll_key) with something to cut: spans array<struct<a, b, line>>, in bytes."""
-    found = materialise(unit_digests(docs, min_line, min_sentence), "units")
+    with batches_of(docs.sparkSession, UNIT_BATCH_BYTES):
+        found = materialise(unit_digests(docs, min_line, min_sentence), "units")
     rank = F.struct("__ll_id", "__ll_key", "a")
     first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
     later = found.join(first, ["h1", "h2"]).where(~F.col("first").eqNullSafe(rank))
@@ -111,6 +117,7 @@ NAMES = ("n_removed", "removed_chars", "removed_spans")
 
 def dedup_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_line: int = MIN_LINE_WORDS, min_sentence: int = MIN_SENTENCE_WORDS, names: tuple[str, str, str] = NAMES) -> DataFrame:
     """docs' columns with the text cut, plus, under the given names: n_removed (int, spans), removed_chars (long) and removed_spans (array<struct<start, end>>, original character offsets)."""
+    small_reads(docs.sparkSession)
     kept = docs.drop(*[c for c in names if c not in (doc_id, text)])
     rows = kept.withColumn(text, text_of(text))
     keyed = rows.withColumn("__ll_key", F.xxhash64(F.col(text)))

@@ -62,6 +62,28 @@ def test_substring_awkward(spark):
     assert substring.dedup_texts(nothing(spark)).count() == 0
 
 
+def test_texts_are_read_in_small_batches(spark, tmp_path, monkeypatch):
+    rows, arrow = "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = {key: spark.conf.get(key) for key in (rows, arrow)}, []
+    make = substring.materialise
+    monkeypatch.setattr(substring, "materialise", lambda *given: seen.append((spark.conf.get(rows), spark.conf.get(arrow))) or make(*given))
+    line = "this line of more than ten words stands in the texts of two rows, number {}\n"
+    texts = [(i, line.format(i % 700) + f"row {i} has a line of its own " + "x" * 5_000) for i in range(1_400)]  # 7 MB; copies lie far apart
+    spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    try:
+        for key in before:
+            spark.conf.unset(key)  # as in a new session
+        found = {r.doc_id: r for r in substring.dedup_texts(spark.read.parquet(f"{tmp_path}/docs")).collect()}
+        assert seen == [("256", str(1 << 20))]
+        assert (spark.conf.get(rows), spark.conf.get(arrow)) == ("256", str(8 << 20))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    for i, text in texts:
+        cut = len(line.format(i % 700)) if i >= 700 else 0
+        assert found[i].text == text[cut:] and [tuple(s) for s in found[i].removed_spans] == ([(0, cut)] if cut else [])
+
+
 def test_text_without_blanks(spark):
     """Long runs count by their length; wide marks end sentences. As plain SQL has it, too."""
     passage = "\u8fd9\u662f\u4e00\u4e2a\u6ca1\u6709\u7a7a\u683c\u7684\u53e5\u5b50\u5b83\u5728\u8bb8\u591a\u6587\u4ef6\u4e2d\u91cd\u590d\u51fa\u73b0\u800c\u4e14\u5f88\u957f\u3002"
