@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions.stemming import stem_udf, stem_vocabulary
@@ -235,13 +235,13 @@ def trec_split_strict(spark, sf_dir):
 
 @query("SELECT (row_number() OVER (ORDER BY doc_id % 7, doc_id) - 1)::BIGINT AS doc_idx, doc_id::VARCHAR AS docno, chr(10) || text AS content FROM documents")
 def collection_scan(spark, sf_dir):
-    """documents written as a folder of seven collection files, and read back in the order of files and places."""
+    """documents written as seven folders of collection files, and read back in the order of files and places. Each folder
+    holds the files of its ranges of documents, whose names follow their order."""
     path = scratch_path(spark, "collection")
-    order = Window.partitionBy("file").orderBy("doc_id")
     docs = _table(spark, sf_dir, "documents").withColumn("file", F.col("doc_id") % 7)
     whole = F.concat(F.lit("<DOC>\n<DOCNO> "), F.col("doc_id").cast("string"), F.lit(" </DOCNO>\n"), F.col("text"), F.lit("\n</DOC>"))
-    lines = docs.withColumn("n", F.row_number().over(order)).select("file", "n", whole.alias("value"))
-    lines.repartition(7, "file").sortWithinPartitions("file", "n").select("value", "file").write.partitionBy("file").text(path)
+    lines = docs.select("file", "doc_id", whole.alias("value")).repartitionByRange("file", "doc_id").sortWithinPartitions("file", "doc_id")
+    lines.select("file", "value").write.partitionBy("file").text(path)
     return trec_documents(spark, path)
 
 
