@@ -7,13 +7,14 @@ document frequencies and the corpus numbers; a search in it reads postings once
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.functions.stemming import stem_column
-from lexloom.functions.text import index_terms
+from lexloom.functions.text import count_lengths, count_postings, stem_counts
 from lexloom.options import IndexOptions
+from lexloom.storage import dealt_by
 
 DOCS = "doc_idx bigint, docno string, dl bigint"
 POSTINGS = "term string, doc_idx bigint, tf int, dl bigint"
@@ -84,7 +85,8 @@ class InvertedIndex:
         """term, block, postings: a term's postings as arrays in document order, one for each `block` document numbers, so
         that a row is bounded however frequent the term is."""
         at = F.floor(F.col("doc_idx") / F.lit(block)).cast("bigint").alias("block")
-        return self.postings.groupBy("term", at).agg(F.array_sort(F.collect_list(F.struct("doc_idx", "tf"))).alias("postings"))
+        dealt = dealt_by(self.postings.select("term", at, "doc_idx", "tf"), "term", "block")  # before lists are made, not lists
+        return dealt.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("doc_idx", "tf"))).alias("postings"))
 
     def find_document(self, docno: str) -> DataFrame:
         """The first doc_idx of that name, -1 if there is none."""
@@ -100,16 +102,16 @@ class InvertedIndex:
         return InvertedIndex(self.docs.unionByName(move(other.docs)), self.postings.unionByName(move(other.postings)), self.options)
 
     def save(self, path: str) -> None:
-        """A folder with docs, postings, terms, numbers and meta; replaces what is there. Postings are clustered by term in
-        ranges of (term, document), so that a frequent term fills several files."""
+        """A folder with docs, postings, terms, numbers and meta; replaces what is there. Postings are written as they lie, a
+        document's together, so that they are made once and neither shuffled nor sorted."""
         spark = self.docs.sparkSession
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.postings.select("term", "doc_idx", "tf", "dl").repartitionByRange("term", "doc_idx").sortWithinPartitions("term", "doc_idx").write.mode("overwrite").parquet(f"{path}/postings")
+        self.postings.select("term", "doc_idx", "tf", "dl").write.mode("overwrite").parquet(f"{path}/postings")
         spark.read.schema(POSTINGS).parquet(f"{path}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
         numbers = spark.read.schema(DOCS).parquet(f"{path}/docs").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens"))
         numbers.write.mode("overwrite").parquet(f"{path}/numbers")
         flags = asdict(self.options)
-        meta = spark.createDataFrame([tuple(flags.values())], ", ".join(f"{k} boolean" for k in flags))
+        meta = spark.range(1).select(*[F.lit(v).alias(k) for k, v in flags.items()])
         meta.write.mode("overwrite").parquet(f"{path}/meta")
 
     @classmethod
@@ -120,12 +122,12 @@ class InvertedIndex:
 
 
 def build_index(docs: DataFrame, options: IndexOptions, max_len: int | None = None, compat_stemmer: bool = True) -> InvertedIndex:
-    """docs: doc_idx, docno, content. Lengths come from the term arrays, so only postings are shuffled, after a partial
-    aggregation that is complete for every document."""
-    terms = index_terms(F.col("content"), options.case_folding, options.remove_stop_words, max_len)
-    lengths = docs.select("doc_idx", "docno", F.size(terms).cast("bigint").alias("dl"))
-    words = docs.select("doc_idx", terms.alias("terms")).select("doc_idx", F.size("terms").cast("bigint").alias("dl"), F.explode("terms").alias("term"))
-    postings = words.groupBy("term", "doc_idx").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.max("dl").alias("dl"))
-    if options.do_stemming:
-        postings = stem_column(postings, "term", compat_stemmer).groupBy("term", "doc_idx").agg(F.sum("tf").cast("int").alias("tf"), F.max("dl").alias("dl"))
-    return InvertedIndex(lengths, postings, options)
+    """docs: doc_idx, docno, content. Documents are dealt out by their number, as texts, which are far smaller than their
+    postings; rows of one number then lie together and are summed where they lie. Terms are counted in Python, a table for
+    each document, so that no posting is shuffled."""
+    how = (options.case_folding, options.remove_stop_words, max_len)
+    stem = partial(stem_counts, compat=compat_stemmer) if options.do_stemming else None
+    docs = docs.select(F.col("doc_idx").cast("bigint").alias("doc_idx"), "docno", "content")
+    lengths = docs.mapInArrow(count_lengths(*how), DOCS)
+    texts = dealt_by(docs.select("doc_idx", "content"), "doc_idx").sortWithinPartitions("doc_idx")
+    return InvertedIndex(lengths, texts.mapInArrow(count_postings(*how, stem), POSTINGS), options)

@@ -57,6 +57,23 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(cores) if cores > 1 and SPREAD_BYTES < size < cores * 16 * SPREAD_BYTES else table
 
 
+#: Bytes of a part that rows are dealt out to, by Spark's estimate from the files' sizes.
+PART_BYTES = 4 << 20
+
+
+def dealt_by(table: DataFrame, *keys, part_bytes: int = PART_BYTES) -> DataFrame:
+    """A table dealt out by its keys, to parts that don't grow with it where its size is known."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 50:  # not known
+        return table.repartition(*keys)
+    return table.repartition(max(table.sparkSession.sparkContext.defaultParallelism, -(-size // part_bytes)), *keys)
+
+
+def lies_by(table: DataFrame, key: str) -> bool:
+    """Whether equal keys lie in one part already, as they do behind dealt_by and joins by broadcast."""
+    return f"hashpartitioning({key}#" in str(table._jdf.queryExecution().sparkPlan().outputPartitioning().toString())
+
+
 #: Rows of narrow columns that may be sent to every task.
 SMALL_ROWS = 200_000
 
