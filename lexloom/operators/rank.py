@@ -2,20 +2,61 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.operators.index import POSTINGS, InvertedIndex
 from lexloom.operators.scoring import SCORERS, Scorer, query_postings
-from lexloom.storage import hadoop_path, scratch_path
+from lexloom.storage import dealt_by, hadoop_path, lies_by, scratch_path
 
 #: As many documents per topic as a run file holds. Spark cuts ranks before the shuffle up to this number.
 DEPTH = 1000
 
 
+#: Contributions that are summed at once; a document's are never parted.
+SUMMED_ROWS = 1 << 20
+_NONE = {"topic": -(2**31), "kw_pos": -(2**31), "doc_idx": -(2**63)}
+
+
+def _sums(topic: np.ndarray, kw_pos: np.ndarray, doc: np.ndarray, score: np.ndarray, empty: np.ndarray) -> pa.RecordBatch:
+    """doc is sorted. Single-precision additions, one after the other, in keyword order for each topic and document."""
+    new = np.concatenate([[0], doc[1:] != doc[:-1]]).cumsum()
+    names, code = np.unique(topic, return_inverse=True)
+    pairs, at = np.unique(new * len(names) + code, return_inverse=True)
+    total, first, void = np.zeros(len(pairs), np.float32), np.full(len(pairs), 2**31 - 1, np.int32), np.zeros(len(pairs), bool)
+    order = np.argsort(kw_pos, kind="stable")
+    np.add.at(total, at[order], score[order])
+    np.minimum.at(first, at, kw_pos)
+    void[at[empty]] = True
+    topics, docs = names[pairs % len(names)], doc[np.flatnonzero(np.diff(new, prepend=-1))][pairs // len(names)]
+    columns = [pa.array(topics, mask=topics == _NONE["topic"]), pa.array(docs, mask=docs == _NONE["doc_idx"]), pa.array(total, mask=void), pa.array(first)]
+    return pa.RecordBatch.from_arrays(columns, ["topic", "doc_idx", "score", "first_kw"])
+
+
+def sum_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over topic, kw_pos, doc_idx, score in document order: topic, doc_idx, score, first_kw."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+    for batch in batches:
+        plain = [batch[c].fill_null(v).to_numpy(zero_copy_only=False) for c, v in _NONE.items()]
+        held.append((*plain, batch["score"].fill_null(0.0).to_numpy(zero_copy_only=False), batch["score"].is_null().to_numpy(zero_copy_only=False)))
+        n += batch.num_rows
+        if n >= SUMMED_ROWS:
+            rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = int(np.searchsorted(rows[2], rows[2][-1]))
+            if cut:
+                yield _sums(*[c[:cut] for c in rows])
+            held = [tuple(c[cut:] for c in rows)]
+            n = 0 if cut else n
+    if held and len(held[0][0]) + sum(len(h[0]) for h in held[1:]):
+        yield _sums(*[np.concatenate(c) for c in zip(*held, strict=True)])
+
+
 def accumulate(contributions: DataFrame, precision: str = "double") -> DataFrame:
     """topic, doc_idx, score, first_kw. `float32` adds single-precision contributions in keyword order."""
     grouped = contributions.groupBy("topic", "doc_idx")
@@ -23,8 +64,9 @@ def accumulate(contributions: DataFrame, precision: str = "double") -> DataFrame
         return grouped.agg(F.sum("score").alias("score"), F.min("kw_pos").alias("first_kw"))
     if precision != "float32":
         raise ValueError(precision)
-    parts = F.array_sort(F.collect_list(F.struct("kw_pos", F.col("score").cast("float").alias("x"))))
-    return grouped.agg(F.aggregate(parts, F.lit(0.0).cast("float"), lambda a, e: a + e["x"]).alias("score"), F.min("kw_pos").alias("first_kw"))
+    rows = contributions.select(F.col("topic").cast("int").alias("topic"), F.col("kw_pos").cast("int").alias("kw_pos"), F.col("doc_idx").cast("bigint").alias("doc_idx"), F.col("score").cast("float").alias("score"))
+    rows = rows if lies_by(rows, "doc_idx") else dealt_by(rows, "doc_idx")
+    return rows.sortWithinPartitions("doc_idx").mapInArrow(sum_in_order, "topic int, doc_idx bigint, score float, first_kw int")
 
 
 def top_documents(scores: DataFrame, depth: int = DEPTH, digits: int | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.operators.index import InvertedIndex
-from lexloom.storage import if_small, scratch_path
+from lexloom.storage import dealt_by, if_small, scratch_path
 
 
 class Scorer(Protocol):
@@ -38,13 +38,23 @@ def query_postings(index: InvertedIndex, topics: DataFrame) -> DataFrame:
     return index.postings.join(if_small(topics.select("term").distinct()), "term", "left_semi")
 
 
+#: Bytes of saved postings whose documents are scored together: some 2 million postings.
+SCORED_BYTES = 8 << 20
+
+
+def by_document(postings: DataFrame) -> DataFrame:
+    """Postings dealt out by document. Contributions, one for each posting and topic that asks for its term, are many times as
+    many; they are then made and summed where the document lies, and no sum is shuffled."""
+    return dealt_by(postings, "doc_idx", part_bytes=SCORED_BYTES)
+
+
 def _weighted(index: InvertedIndex, topics: DataFrame, **weights) -> DataFrame:
     """topic, kw_pos, the weights (columns made of df and qtf, one row per topic and term), doc_idx, tf, dl: a row per posting.
 
     Where frequencies aren't saved they are counted over the query terms' postings only."""
     stats = index.terms if index.terms is not None else query_postings(index, topics).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    known = topics.join(stats, "term").select("topic", "kw_pos", "term", *[w.alias(name) for name, w in weights.items()])
-    return index.postings.join(if_small(known), "term")
+    known = materialise(topics.join(stats, "term").select("topic", "kw_pos", "term", *[w.alias(name) for name, w in weights.items()]))
+    return by_document(query_postings(index, known)).join(if_small(known), "term")
 
 
 @dataclass(frozen=True)
@@ -131,8 +141,8 @@ class AdaptiveBm25:
     def contributions(self, index: InvertedIndex, topics: DataFrame) -> DataFrame:
         _, avg = index.corpus_numbers()
         parameters = self.term_parameters(index, topics.select("term").distinct())
-        known = if_small(materialise(topics.join(parameters, "term").select("topic", "kw_pos", "term", "qtf", "ig1", "k1")))
-        rows = index.postings.join(known, "term").withColumn("c", self.normalised_tf(avg))
+        known = materialise(topics.join(parameters, "term").select("topic", "kw_pos", "term", "qtf", "ig1", "k1"))
+        rows = by_document(query_postings(index, known)).join(if_small(known), "term").withColumn("c", self.normalised_tf(avg))
         one = F.lit(1.0).cast("float")
         gain = (F.col("c") * (F.col("k1") + one) / (F.col("k1") + F.col("c"))).cast("float")
         return rows.select("topic", "kw_pos", "doc_idx", (F.col("qtf").cast("float") * gain * F.col("ig1")).cast("double").alias("score"))
